@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
+from .linear import fit_logistic
 from .scratch import Scratch
 from .tables import read
 
 #: Labelled documents of each class that the fit reads at most, the lowest by a hash of doc_id.
 TRAIN_PER_CLASS = 2000
-SIZES, BITS, FEATURES = (4, 5, 6), 20, 4000
+SIZES, BITS, FEATURES = (4, 5, 6), 20, 10_000
 
 
 @dataclass
@@ -49,10 +50,10 @@ def _presences(sizes: tuple[int, ...], bits: int, table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lut = textvec.byte_lut(keep_digits=False)
         for batch in batches:
-            for lo, _, raw, offs in textvec.chunks(batch["text"]):
+            for lo, hi, raw, offs in textvec.chunks(batch["text"]):
                 doc, bucket = _present(raw, offs, table, sizes, bits, lut)
-                row = pa.array(doc + lo)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(row), batch["toxic"].take(row), pa.array(bucket.astype(np.int32))], ["doc_id", "toxic", "bucket"])
+                each = np.split(bucket.astype(np.int32), np.searchsorted(doc, np.arange(1, hi - lo)))
+                yield pa.RecordBatch.from_arrays([batch["toxic"].slice(lo, hi - lo), pa.array([x.tobytes() for x in each], pa.binary())], ["toxic", "buckets"])
 
     return run
 
@@ -79,47 +80,6 @@ def _padded(docs: DataFrame, *others: str) -> DataFrame:
     return docs.select(*others, F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" ")).alias("text"))
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int, memory: int = 10) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression whose classes weigh alike, by limited-memory BFGS."""
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-
-    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = x @ w[:-1] + w[-1]
-        value = (share * (np.logaddexp(0, z) - y * z)).sum() + penalty / 2 * (w[:-1] ** 2).sum()
-        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        return value, np.append(x.T @ g + penalty * w[:-1], g.sum())
-
-    w = np.zeros(x.shape[1] + 1)
-    value, g = loss(w)
-    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
-    for _ in range(steps):
-        d, used = -g, []
-        for s, t, r in reversed(pairs):
-            used.append(r * (s @ d))
-            d = d - used[-1] * t
-        if pairs:
-            s, t, r = pairs[-1]
-            d = d / (r * (t @ t))
-        for (s, t, r), u in zip(pairs, reversed(used), strict=True):
-            d = d + (u - r * (t @ d)) * s
-        size = 1.0 if pairs else 1 / max(1e-9, np.abs(g).sum())
-        for _ in range(30):
-            after, h = loss(w + size * d)
-            if after <= value + 1e-4 * size * (g @ d):
-                break
-            size /= 2
-        else:
-            break
-        s, t = size * d, h - g
-        if s @ t > 1e-12:
-            pairs = [*pairs[1 - memory :], (s, t, 1 / (s @ t))]
-        done = value - after < 1e-9
-        w, value, g = w + s, after, h
-        if done:
-            break
-    return w[:-1], float(w[-1])
-
-
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, sizes: tuple[int, ...] = SIZES, bits: int = BITS, features: int = FEATURES, smooth: float = 1.0, penalty: float = 1e-5) -> Model:
     """Fits the classifier on at most ``per_class`` labelled documents of each class.
 
@@ -149,13 +109,24 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     ratio = np.log((toxic + smooth) / (p + 2 * smooth)) - np.log((clean + smooth) / (q + 2 * smooth))
     table = np.zeros(1 << bits, bool)
     table[bucket] = True
-    got = texts.mapInArrow(_presences(sizes, bits, table), "doc_id long, toxic int, bucket int").toPandas()
-    ids, doc = np.unique(got["doc_id"].to_numpy(), return_inverse=True)
-    x, y = np.zeros((len(ids), len(bucket)), np.float32), np.zeros(len(ids))
-    column = np.searchsorted(bucket, got["bucket"].to_numpy())
-    x[doc, column] = ratio[column]
-    y[doc] = got["toxic"].to_numpy()
-    weights, intercept = _fit_logistic(x, y, penalty, 100)
+    got = texts.mapInArrow(_presences(sizes, bits, table), "toxic int, buckets binary").collect()
+    y = np.array([r["toxic"] for r in got], float)
+    length = np.array([len(r["buckets"]) // 4 for r in got])
+    column = np.searchsorted(bucket, np.frombuffer(b"".join(r["buckets"] for r in got), np.int32)).astype(np.int32)
+    del got
+    ends = np.cumsum(length)
+    starts, some = ends - length, length > 0
+
+    def times(w: np.ndarray) -> np.ndarray:
+        z = np.zeros(len(y))
+        if some.any():
+            z[some] = np.add.reduceat((w * ratio)[column], starts[some])
+        return z
+
+    def back(g: np.ndarray) -> np.ndarray:
+        return np.bincount(column, np.repeat(g, length), len(bucket)) * ratio
+
+    weights, intercept = fit_logistic(times, back, len(bucket), y, penalty, 100)
     full = np.zeros(1 << bits, np.float32)
     full[bucket] = weights * ratio
     return Model(full, float(intercept), bits, sizes)
