@@ -27,7 +27,7 @@ SIZES, BITS, GAP = (1, 2, 3), 12, 0.25
 def codewords(classes: int, seed: int = 3) -> np.ndarray:
     """A row of +1 and -1 for each class: all distinct splits for up to 6 classes, else the best of random codes."""
     if classes <= 6:
-        splits = [s for s in itertools.product((1, -1), repeat=classes) if s[0] == 1 and -1 in s]
+        splits = [s for s in itertools.product((1, -1), repeat=classes) if s[:1] == (1,) and -1 in s]
         return np.array(splits, np.int8).reshape(-1, classes).T if splits else np.ones((classes, 0), np.int8)
     rng, width, best, apart = np.random.default_rng(seed), int(np.ceil(10 * np.log2(classes))), None, -1
     for _ in range(200):
@@ -58,7 +58,9 @@ def features(raw: np.ndarray, offs: np.ndarray, sizes: tuple[int, ...], bits: in
 
 
 def distances(margins: np.ndarray, code: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Loss-weighted distance of each row of bit margins from each codeword."""
+    """Loss-weighted distance of each row of bit margins from each codeword; without codewords a row of none."""
+    if not len(code):
+        return np.zeros((len(margins), 0))
     return np.stack([(weights[r] * np.logaddexp(0, -code[r] * margins)).sum(1) for r in range(len(code))], 1)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import textvec
 from .components import components
 from .scratch import Scratch
-from .tables import small
+from .tables import fresh, small
 
 HASHES, BAND_ROWS, SHINGLE, THRESHOLD, MISS, BATCH = 120, 5, 3, 0.7, 0.01, 24
 
@@ -202,5 +202,6 @@ def groups(
 
 def near_dedup(spark: SparkSession, docs: DataFrame, **parameters) -> DataFrame:
     """docs without the documents that :func:`groups` lists: one of each group stays, with all its rows and columns."""
-    gone = small(groups(spark, docs, **parameters).select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    (key,) = fresh(docs, "__gone")
+    gone = small(groups(spark, docs, **parameters).select(F.col("doc_id").alias(key)))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(key), "left_anti")

@@ -18,6 +18,16 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each lengthened until no column of df has it in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def unit_hash(*parts: Column | str, seed: int) -> Column:
     """A number in [0, 1) from 52 bits of an MD5 of the seed and the parts; nulls hash as the word null."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("null")) for p in parts])
@@ -33,13 +43,14 @@ def without(docs: DataFrame, drop: DataFrame, again: DataFrame) -> DataFrame:
     """The rows of docs but for those whose (doc_id, hash of text) is in ``drop``; of the rows that share a key in
     ``again`` one stays. Both tables have the columns doc_id and th and distinct non-null rows. Docs keep all their
     columns; rows with a null doc_id or text stay."""
-    own = ["__doc_id", "__th"]
+    own = fresh(docs, "__doc_id", "__th")
+    kept = [f"`{c}`" for c in docs.columns]
     keyed = docs.withColumns({own[0]: F.col("doc_id"), own[1]: F.xxhash64("text")})
     gone = small(drop.select(F.col("doc_id").alias(own[0]), F.col("th").alias(own[1])))
     twice = small(again.select(F.col("doc_id").alias(own[0]), F.col("th").alias(own[1])))
     rest = keyed.join(gone, own, "left_anti")
     if again.isEmpty():
-        return rest.select(*docs.columns)
-    once = rest.join(twice, own, "left_anti").select(*docs.columns)
-    one = rest.join(twice, own, "left_semi").dropDuplicates(own).select(*docs.columns)
+        return rest.select(*kept)
+    once = rest.join(twice, own, "left_anti").select(*kept)
+    one = rest.join(twice, own, "left_semi").dropDuplicates(own).select(*kept)
     return once.unionByName(one)
