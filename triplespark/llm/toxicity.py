@@ -1,7 +1,8 @@
 """Toxicity: a character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
-The model of Wang and Manning (2012): the presence of each n-gram counts as its smoothed log-count ratio between
-toxic and other labelled texts, and a logistic regression is fitted over these scaled features.
+The model of Wang and Manning (2012): each n-gram's smoothed log-count ratio between toxic and other labelled texts
+scales log2(1 + its count in the text), and a logistic regression is fitted over these features. A single occurrence
+weighs as mere presence would; a long text that repeats an n-gram differs from one that has it by chance.
 """
 
 from __future__ import annotations
@@ -34,26 +35,27 @@ class Model:
     sizes: tuple[int, ...] = SIZES
 
 
-def _present(raw: np.ndarray, offs: np.ndarray, table: np.ndarray, sizes: tuple[int, ...], bits: int, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) without repeats, for the n-grams whose bucket isn't zero in ``table``."""
+def _counted(raw: np.ndarray, offs: np.ndarray, table: np.ndarray, sizes: tuple[int, ...], bits: int, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, bucket, count) without repeats, for the n-grams whose bucket isn't zero in ``table``."""
     found = [np.zeros(0, np.int64)]
     for n in sizes:
         h, at = textvec.char_ngrams(raw, offs, n, bits, lut)
         use = np.flatnonzero(table[h])
         doc = np.searchsorted(offs, at[use], "right") - 1
         found.append((doc << bits) | h[use].astype(np.int64))
-    both = np.unique(np.concatenate(found))
-    return both >> bits, both & ((1 << bits) - 1)
+    both, count = np.unique(np.concatenate(found), return_counts=True)
+    return both >> bits, both & ((1 << bits) - 1), count
 
 
-def _presences(sizes: tuple[int, ...], bits: int, table: np.ndarray):
+def _features(sizes: tuple[int, ...], bits: int, table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lut = textvec.byte_lut(keep_digits=False)
         for batch in batches:
             for lo, hi, raw, offs in textvec.chunks(batch["text"]):
-                doc, bucket = _present(raw, offs, table, sizes, bits, lut)
-                each = np.split(bucket.astype(np.int32), np.searchsorted(doc, np.arange(1, hi - lo)))
-                yield pa.RecordBatch.from_arrays([batch["toxic"].slice(lo, hi - lo), pa.array([x.tobytes() for x in each], pa.binary())], ["toxic", "buckets"])
+                doc, bucket, count = _counted(raw, offs, table, sizes, bits, lut)
+                cut = np.searchsorted(doc, np.arange(1, hi - lo))
+                each = [pa.array([x.tobytes() for x in np.split(v.astype(np.int32), cut)], pa.binary()) for v in (bucket, count)]
+                yield pa.RecordBatch.from_arrays([batch["toxic"].slice(lo, hi - lo), *each], ["toxic", "buckets", "counts"])
 
     return run
 
@@ -67,7 +69,7 @@ def _frequencies(sizes: tuple[int, ...], bits: int):
         for batch in batches:
             toxic = batch["toxic"].to_numpy(zero_copy_only=False)
             for lo, hi, raw, offs in textvec.chunks(batch["text"]):
-                doc, bucket = _present(raw, offs, every, sizes, bits, lut)
+                doc, bucket, _ = _counted(raw, offs, every, sizes, bits, lut)
                 count[1] += np.bincount(bucket, minlength=1 << bits)
                 count[0] += np.bincount(bucket[toxic[lo:hi][doc] == 1], minlength=1 << bits)
         some = np.flatnonzero(count[1])
@@ -109,10 +111,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     ratio = np.log((toxic + smooth) / (p + 2 * smooth)) - np.log((clean + smooth) / (q + 2 * smooth))
     table = np.zeros(1 << bits, bool)
     table[bucket] = True
-    got = texts.mapInArrow(_presences(sizes, bits, table), "toxic int, buckets binary").collect()
+    got = texts.mapInArrow(_features(sizes, bits, table), "toxic int, buckets binary, counts binary").collect()
     y = np.array([r["toxic"] for r in got], float)
     length = np.array([len(r["buckets"]) // 4 for r in got])
     column = np.searchsorted(bucket, np.frombuffer(b"".join(r["buckets"] for r in got), np.int32)).astype(np.int32)
+    value = np.log2(1 + np.frombuffer(b"".join(r["counts"] for r in got), np.int32)).astype(np.float32)
     del got
     ends = np.cumsum(length)
     starts, some = ends - length, length > 0
@@ -120,11 +123,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     def times(w: np.ndarray) -> np.ndarray:
         z = np.zeros(len(y))
         if some.any():
-            z[some] = np.add.reduceat((w * ratio)[column], starts[some])
+            z[some] = np.add.reduceat((w * ratio)[column] * value, starts[some])
         return z
 
     def back(g: np.ndarray) -> np.ndarray:
-        return np.bincount(column, np.repeat(g, length), len(bucket)) * ratio
+        return np.bincount(column, np.repeat(g, length) * value, len(bucket)) * ratio
 
     weights, intercept = fit_logistic(times, back, len(bucket), y, penalty, 100)
     full = np.zeros(1 << bits, np.float32)
@@ -137,8 +140,8 @@ def score_texts(texts: pa.Array, weights: np.ndarray, intercept: float, bits: in
     lut, out = textvec.byte_lut(keep_digits=False), np.full(len(texts), intercept)
     table = weights != 0
     for lo, hi, raw, offs in textvec.chunks(texts):
-        doc, bucket = _present(raw, offs, table, sizes, bits, lut)
-        out[lo:hi] += np.bincount(doc, weights[bucket], hi - lo)
+        doc, bucket, count = _counted(raw, offs, table, sizes, bits, lut)
+        out[lo:hi] += np.bincount(doc, weights[bucket] * np.log2(1 + count), hi - lo)
     return out
 
 
