@@ -1,6 +1,6 @@
 """Quality classifier by importance resampling (Xie et al., 2023).
 
-Two bags of hashed word n-grams are generative models of the target texts and of the raw corpus. The log ratio of a
+Two bags of hashed n-grams of words and of runs of punctuation are generative models of the target texts and of the raw corpus. The log ratio of a
 document's likelihoods is its importance weight; adding Gumbel noise and taking the k highest samples k documents
 without replacement in proportion to the weights.
 """
@@ -8,6 +8,7 @@ without replacement in proportion to the weights.
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +23,27 @@ from .tables import small, unit_hash
 BITS, FRACTION, SEED = 14, 0.85, 29
 
 
+def punctuation_lut() -> np.ndarray:
+    """Maps bytes to ASCII punctuation and symbols; all else becomes a space."""
+    return np.array([c if c < 128 and chr(c) in string.punctuation else 32 for c in range(256)], np.uint8)
+
+
+_PUNCTUATION = punctuation_lut()
+
+
 def ngram_buckets(raw: np.ndarray, offs: np.ndarray, bits: int, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each document's words and of its pairs of neighbouring words, and their documents."""
-    h, wo = textvec.words(raw, offs, lut)
-    doc, shift = textvec.doc_of(wo), np.uint64(64 - bits)
-    same = np.flatnonzero(doc[1:] == doc[:-1])
-    with np.errstate(over="ignore"):
-        pairs = textvec.mix(h[same] * np.uint64(0x9E3779B97F4A7C15) + h[same + 1])
-    return np.concatenate([h >> shift, pairs >> shift]).astype(np.int64), np.concatenate([doc, doc[same]])
+    """Buckets of each document's words, of its pairs of neighbouring words, and the same of its runs of punctuation,
+    with their documents."""
+    buckets, docs, shift = [], [], np.uint64(64 - bits)
+    for kind in (lut, _PUNCTUATION):
+        h, wo = textvec.words(raw, offs, kind)
+        doc = textvec.doc_of(wo)
+        same = np.flatnonzero(doc[1:] == doc[:-1])
+        with np.errstate(over="ignore"):
+            pairs = textvec.mix(h[same] * np.uint64(0x9E3779B97F4A7C15) + h[same + 1])
+        buckets += [h >> shift, pairs >> shift]
+        docs += [doc, doc[same]]
+    return np.concatenate(buckets).astype(np.int64), np.concatenate(docs)
 
 
 def _counter(bits: int):
