@@ -177,7 +177,7 @@ def test_chunker():
     chunks = tx.split_text(text)
     assert all(len(c) <= 600 and c in text for c in chunks) and len(chunks) > 5
     assert tx.split_text("x" * 1500) == ["x" * 1500]
-    assert tx.split_text("a. " * 10, 10, 0) == ["a. a. a", ". a. a. a", ". a. a. a", ". a."]
+    assert tx.split_text("a. " * 10, 10, 0) == ["a. a. a. a", ". a. a. a", ". a. a. a", "."]
 
 
 def test_text_functions(spark):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import dot, match_scores, norm
 from ..functions.text import SCORED, scored_items
 from ..models import Embedder, LanguageModel, ask, embed
+from ..sources.storage import checkpointed
 
 _SEP = "\x1f"
 
@@ -58,13 +59,16 @@ class ModelScorer(Scorer):
         prompt = F.concat(F.lit(self.task + "\nQ: "), F.col("query"), F.lit("\nItems: "), F.array_join(F.transform("x", lambda t: t["item"]), "; "), F.lit("\nA: "))
         asked = ask(lists.select("__g", prompt.alias("prompt")), self.model)
         found = asked.select(F.col("__g").alias("qid"), F.posexplode(scored_items(F.col("response"), self.pattern)).alias("ord", "r"))
-        results = found.select("qid", F.col("r.item").alias("label"), F.col("r.score").alias("score"), "ord").where("score is not null")
+        results = checkpointed(found.select("qid", F.col("r.item").alias("label"), F.col("r.score").alias("score"), "ord").where("score is not null"))
         matched = match_scores(results, named.select(F.col("__g").alias("qid"), F.col("item").alias("target"), "ord"))
         return named.join(matched.select(F.col("qid").alias("__g"), F.col("target").alias("item"), "score"), ["__g", "item"]).select(*items.columns, "score")
 
 
 def prune(items: DataFrame, keys: list[str], scorer: Scorer) -> DataFrame:
-    """items with ``score``: a single candidate scores 1 and isn't sent to the scorer."""
-    counted = items.withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    """items with ``score``: a single candidate scores 1 and isn't sent to the scorer.
+
+    Both the items and the scores are checkpointed, as they are read more than once: no model is asked twice.
+    """
+    counted = checkpointed(items.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))))
     single = counted.where("__n = 1").drop("__n").withColumn("score", F.lit(1.0))
-    return single.unionByName(scorer.score(counted.where("__n > 1").drop("__n"), keys))
+    return checkpointed(single.unionByName(scorer.score(counted.where("__n > 1").drop("__n"), keys)))

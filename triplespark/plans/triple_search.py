@@ -53,8 +53,8 @@ class TripleSearch:
             asked = ask(queries.select("qid", F.concat(F.lit("Name the entities of the question as {entity (Score: x)}.\nQ: "), F.col("query")).alias("prompt")), self.model)
             found = asked.select("qid", F.posexplode(scored_items(F.col("response"), SCORED)).alias("ord", "r"))
             results = found.select("qid", F.col("r.item").alias("label"), F.col("r.score").alias("score"), "ord").where("score is not null")
-        targets = unused_entities(self.kg, queries, used).select("qid", F.col("node").alias("target"), F.col("node").alias("ord"))
-        return match_scores(results, targets).select("qid", F.col("target").alias("topic"), F.col("score").alias("topic_score"))
+        targets = checkpointed(unused_entities(self.kg, queries, used).select("qid", F.col("node").alias("target"), F.col("node").alias("ord")))
+        return match_scores(checkpointed(results), targets).select("qid", F.col("target").alias("topic"), F.col("score").alias("topic_score"))
 
     def retrieved_text(self, used: DataFrame) -> DataFrame:
         return render(used, self.style, "qid", "label" if self.style == "trees" else "round", ["round"] if self.style == "trees" else None)
@@ -98,6 +98,7 @@ class TripleSearch:
             used = checkpointed(used.unionByName(chosen.select("qid", "ord", "subject", "label", "object", F.lit(done).alias("round"))))
             text = self.retrieved_text(used)
             prompt = F.concat(F.lit("Is this enough to answer? Say {Yes} or {No} and why.\nQ: "), F.col("query"), F.lit("\n"), F.coalesce("text", F.lit("")))
+            text = checkpointed(text)
             said = ask(live.join(text, "qid", "left").select("qid", "query", "now", prompt.alias("prompt")), self.model)
             said = checkpointed(said.select("qid", "query", "now", F.col("response").alias("notes"), says_yes_first(F.col("response")).alias("enough")))
             last = done == self.rounds
