@@ -55,6 +55,20 @@ def test_groups_against_brute_force(spark):
     assert len(got - want) <= 0.1 * len(want)
 
 
+def test_near_copies_with_scattered_words_replaced(spark):
+    rows = []
+    for k in range(40):
+        w = cases.words(100, 5000 + k).split()
+        copy = list(w)
+        for j in range(10, 90, 10 + k % 4):  # 6 to 8 words: an index of 0.60 to 0.65
+            copy[j] = f"other{j}"
+        rows += [(2 * k, " ".join(w), "en", "s", 1), (2 * k + 1, " ".join(copy), "en", "s", 1)]
+    assert brute(rows)[1] == set()
+    want = brute(rows, 0.5)[1]
+    got = {tuple(r) for r in near_dedup.groups(spark, cases.table(spark, rows)).collect()}
+    assert len(want) == 40 and got <= want and len(got) >= 38
+
+
 def test_odd_rows(spark):
     docs = cases.table(spark, clashing=True)
     got = {tuple(r) for r in near_dedup.groups(spark, docs).collect()}
