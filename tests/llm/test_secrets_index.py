@@ -33,6 +33,22 @@ def test_finds_secrets_and_spares_the_rest(spark):
     assert scan(spark, []) == []
 
 
+def test_random_letters_and_base64_are_no_names(spark):
+    rng = np.random.default_rng(4)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    strings = [pick(low + low.upper(), 20) for _ in range(50)] + [pick(low, 16) for _ in range(50)]
+    strings += ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "q7/Xw2+Rk9/ZpT4vLm8sQ1/cY6uHnB3gA=="]
+    rows = [(i, f"value {x} here", "en", "s", 1) for i, x in enumerate(strings)]
+    plain = ["someCamelCaseName and my_variable_name_2", "usr/local/share/python/packages", "a" * 60_000 + "-", "_-" * 30_000 + "9"]
+    rows += [(1000 + i, x, "en", "s", 1) for i, x in enumerate(plain[:2])]
+    got = {(r["doc_id"], r["start"], r["length"]) for r in scan(spark, rows)}
+    want = {(i, 6, len(x)) for i, x in enumerate(strings)}
+    assert got <= want and len(got) >= 0.96 * len(want) and {(i, 6, len(strings[i])) for i in (100, 101)} <= got
+    enc = s.encoder(open(s.VOCABULARY, "rb").read())
+    assert not s.is_name(plain[2] + "/", enc, s.WORD) and not s.is_name(plain[3], enc, s.WORD)  # ends at once
+
+
 def test_runs_equal_a_regex():
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("ab1-+_ é."), rng.integers(0, 60))) for _ in range(300)] + ["a" * 20, "b" * 20, "", "c" * 15]
