@@ -165,6 +165,28 @@ def test_cosine_drops_zero_and_negative(spark):
     assert got(sim.cosine_top(q, v, 0.0, 5), "candidate", "rank") == [("a", 1), ("d", 2)]
 
 
+@pytest.mark.parametrize("name,threshold,top_n", [("q_cosine_topn_all", 0.0, 10), ("q_multi_center_all", 0.3, 5)])
+def test_every_vector_is_a_query(spark, tmp_path, name, threshold, top_n):
+    import numpy as np
+
+    from triplespark.plans.queries import REGISTRY
+
+    e = np.random.default_rng(2).normal(size=(60, 8)).astype(np.float32)
+    e[7] = 0
+    e[9] = e[8]
+    spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(e)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = e.astype(float)
+    want = set()
+    for i in range(60):
+        s = [(-round(float(x[i] @ x[j]) / float(np.linalg.norm(x[i]) * np.linalg.norm(x[j])), 9), j) for j in range(60) if 7 not in (i, j)]
+        want |= {(i, j, r) for r, (v, j) in enumerate(sorted(s)[:top_n], 1) if -v >= threshold}
+    assert {(r["query"], r["candidate"], r["rank"]) for r in REGISTRY[name][0](spark, str(tmp_path)).collect()} == want
+    v = spark.read.parquet(str(tmp_path / "embeddings.parquet")).selectExpr("vec_id as candidate", "embedding as emb", "vec_id as ord")
+    q = v.selectExpr("candidate as query", "emb as q_emb")
+    pick = lambda df: {(r["query"], r["rank"], round(r["score"], 6)) for r in df.collect()}
+    assert pick(sim.cosine_top_all(q, v, threshold, top_n, block=16)) == pick(sim.cosine_top(q, v, threshold, top_n))
+
+
 def test_match_scores(spark):
     r = spark.createDataFrame([(0, "paris", 0.5, 0), (0, "pariss", 0.25, 1), (0, "paris", 0.75, 2)], "qid long, label string, score double, ord int")
     t = spark.createDataFrame([(0, "paris", 0), (0, "rome", 1)], "qid long, target string, ord int")

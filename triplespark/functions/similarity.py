@@ -122,6 +122,53 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, threshold: float = 0.0, t
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("query", "candidate", "score", "rank")
 
 
+def _block_top(threshold: float, top_n: int, rows: int = 512):
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        x = column.combine_chunks()
+        m = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+        return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, cs, scores = [], [], []
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("ord")  # a stable sort by score then breaks ties by ord
+            q, v = matrix(left["q_emb"]), matrix(right["emb"])
+            for lo in range(0, len(q), rows):
+                s = q[lo : lo + rows] @ v.T
+                n = min(top_n, s.shape[1])
+                least = np.maximum(np.partition(s, -n, 1)[:, -n], threshold)
+                i, j = np.nonzero(s >= least[:, None])
+                order = np.lexsort((j, -s[i, j], i))
+                i, j = i[order], j[order]
+                starts = np.searchsorted(i, i)
+                keep = np.arange(len(i)) - starts < top_n
+                at.append(i[keep] + lo)
+                cs.append(j[keep])
+                scores.append(s[i[keep], j[keep]])
+        at, cs = (pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (at, cs))
+        best = right.take(cs)
+        return pa.table({"query": left["query"].take(at), "candidate": best["candidate"], "ord": best["ord"], "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
+
+    return run
+
+
+def cosine_top_all(queries: DataFrame, vectors: DataFrame, threshold: float = 0.0, top_n: int = 1, block: int = 8192) -> DataFrame:
+    """:func:`cosine_top` for as many queries as vectors: every pair is scored, a block of queries with a block of
+    vectors at a time, and only a block's best leave it."""
+    right = vectors.where(norm(F.col("emb")) > 0).select("candidate", "ord", "emb", F.size("emb").alias("dim"))
+    left = queries.where(norm(F.col("q_emb")) > 0).select("query", "q_emb", F.size("q_emb").alias("dim"))
+    nq, nv = (max(1, -(-x.count() // block)) for x in (left, right))
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumn("qb", spread("query", nq)).withColumn("vb", every(nv))
+    right = right.withColumn("vb", spread("ord", nv)).withColumn("qb", every(nq))
+    kinds = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((queries, "query"), (vectors, "candidate"), (vectors, "ord")))
+    key = ["dim", "qb", "vb"]
+    best = left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(_block_top(threshold, top_n), f"{kinds}, score double")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "ord")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("query", "candidate", "score", "rank")
+
+
 def match_scores(results: DataFrame, targets: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(qid, target, score) for scored labels (qid, label, score, ord) and targets (qid, target, ord).
 

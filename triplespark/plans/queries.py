@@ -474,6 +474,20 @@ def q_rag_retrieve(spark, d):
     return retrieved_context(_asked(spark, d).select(F.col("query").alias("qid"), "q_emb"), chunks, 4)
 
 
+def _every(spark, d):
+    return _vectors(spark, d).select(F.col("candidate").alias("query"), F.col("emb").alias("q_emb"))
+
+
+@query()
+def q_cosine_topn_all(spark, d):
+    return sim.cosine_top_all(_every(spark, d), _vectors(spark, d), 0.0, 10).withColumn("score", _r("score"))
+
+
+@query()
+def q_multi_center_all(spark, d):
+    return sim.cosine_top_all(_every(spark, d), _vectors(spark, d), 0.3, 5).withColumn("score", _r("score"))
+
+
 @query(f"""WITH RECURSIVE {_LCS}, Z AS (SELECT target AS label, candidate, row_number() OVER (PARTITION BY target ORDER BY score DESC, candidate) AS rank FROM S),
     X AS (SELECT r_regionkey::BIGINT AS qid, 'BUILDING' AS target, 0.5::DOUBLE AS score FROM region
         UNION ALL SELECT n_regionkey, candidate, (n_nationkey % 4) / 8.0::DOUBLE FROM nation JOIN Z ON label = n_name AND rank = 1)
