@@ -81,3 +81,10 @@ def test_keys_and_lookup(spark):
     asked = spark.createDataFrame([("com,example,site)/a?b=2&z=1",), ("absent)/",), (None,)], "key string")
     assert sorted(r["page_id"] for r in c.lookup(spark, index, asked).collect()) == [1, 2]
     assert c.captures_of_pages(spark, pages.limit(0)).count() == 0
+
+
+def test_line_feeds_and_backslashes_in_urls(spark):
+    rows = [(1, "http://a.com/x\n"), (2, "http://a.com/x\n"), (3, "http://a.com/x\\n"), (4, "http://a.com/x 7\ny"), (5, "http://a.com/x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: (r["captures"], r["first_page_id"]) for r in c.captures_of_pages(spark, pages).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (1, 3), 4: (1, 4), 5: (1, 5)}

@@ -49,12 +49,17 @@ class Index:
         return self.blocks.select("shard", "block", "first_key", "last_key")
 
 
+def _line(key: str) -> str:
+    """A key without line feeds, which end a row of a block."""
+    return key.replace("\\", "\\\\").replace("\n", "\\n")
+
+
 def _compress(block_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, made, held = TaskContext.get().partitionId(), 0, []
 
         def block(rows: list[tuple[str, int]]) -> pa.RecordBatch:
-            lines = "\n".join(f"{key} {'' if page is None else page}" for key, page in rows)
+            lines = "\n".join(f"{_line(key)} {'' if page is None else page}" for key, page in rows)
             values = [[shard], [made], [rows[0][0]], [rows[-1][0]], [len(rows)], [zlib.compress(lines.encode(), 6)]]
             types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], ["shard", "block", "first_key", "last_key", "rows", "payload"])
@@ -112,11 +117,11 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, pages = [], []
         for payload, asked in zip(batch["payload"].to_pylist(), batch["asked"].to_pylist(), strict=True):
-            wanted = set(asked)
+            wanted = {_line(key): key for key in asked}
             for line in zlib.decompress(payload).decode().split("\n"):
                 key, _, page = line.rpartition(" ")
                 if key in wanted:
-                    keys.append(key)
+                    keys.append(wanted[key])
                     pages.append(int(page) if page else None)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(pages, pa.int64())], ["key", "page_id"])
 
