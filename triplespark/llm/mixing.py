@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import small, unit_hash, words
+from .scratch import Scratch
+from .tables import CHUNK_COPIES, repeated, small, unit_hash, words
 
 #: Relative weights of sources; any other source has DEFAULT_WEIGHT.
 WEIGHTS, DEFAULT_WEIGHT, SEED = {"src0": 3.0, "src1": 2.0, "src2": 0.5}, 1.0, 17
@@ -32,21 +33,26 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default: float
     """Each row of docs floor(rate) times, and once more if a hash of its doc_id and the seed falls below the rest.
 
     The draw depends on nothing but doc_id and seed, so a recomputed task emits the same rows. ``copy`` names a column
-    to add that numbers a row's copies from 0. All columns of docs stay; rows that repeat a doc_id are drawn alike; a
-    null doc_id hashes as a word of its own; a null or empty text counts no tokens and is emitted like any other of
-    its source.
+    to add that numbers a row's copies from 0, a long. All columns of docs stay, whatever their names; rows that repeat
+    a doc_id are drawn alike; a null doc_id hashes as a word of its own; a null or empty text counts no tokens and is
+    emitted like any other of its source. Whole texts are counted, however long. doc_id may be of any type. A rate may
+    be of any size: the copies of one row are spread over tasks. An empty table gives an empty one. The rates, a row a
+    source, are written once, so the texts are read twice in all: to count and to emit.
     """
+    spark = docs.sparkSession
     names = [f"__{i}" for i in range(len(docs.columns))]
     own = docs.withColumns({n: F.col(f"`{c}`") for n, c in zip(names, docs.columns, strict=True)}).select(*names, F.col("source").alias("__source"), F.col("doc_id").alias("__id"))
-    found = small(rates(docs, weights, default).select(F.col("source").alias("__s"), F.col("rate").alias("__rate")))
-    joined = own.join(found, F.col("__source").eqNullSafe(F.col("__s")))
+    found = rates(docs, weights, default).select(F.col("source").alias("__s"), F.col("rate").alias("__rate"))
+    found = Scratch(spark, "mix").table(found, "rates")
+    spread = (found.agg(F.max("__rate")).first()[0] or 0) > CHUNK_COPIES
+    joined = own.join(small(found), F.col("__source").eqNullSafe(F.col("__s")))
     whole = F.floor("__rate")
-    times = (whole + (unit_hash("__id", seed=seed) < F.col("__rate") - whole).cast("long")).cast("int")
-    out = joined.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(0), times - 1)))
+    times = whole + (unit_hash("__id", seed=seed) < F.col("__rate") - whole).cast("long")
+    out = repeated(joined.withColumn("__times", times), "__times", "__copy", spread)
     kept = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
     return out.select(*kept, *([F.col("__copy").alias(copy)] if copy else []))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, **parameters) -> DataFrame:
-    """(doc_id, source, copy) of every document the mixture emits."""
+    """(doc_id, source, copy) of every document the mixture emits; odd rows as in :func:`mix`."""
     return mix(docs.select("doc_id", "source", "text"), copy="copy", **parameters).select("doc_id", "source", "copy")

@@ -84,7 +84,7 @@ ORACLE: dict[str, str] = {
             SELECT d.doc_id, d.source, floor(rate)::BIGINT + (
                 ('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(d.doc_id::VARCHAR, 'null'))), 1, 13))::BIGINT / {float(1 << 52)} < rate - floor(rate))::BIGINT AS times
             FROM documents d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source)
-        SELECT doc_id, source, unnest(range(times))::INTEGER AS copy FROM drawn""",
+        SELECT doc_id, source, unnest(range(times))::BIGINT AS copy FROM drawn""",
     "op9_capture_index": r"""
         WITH low AS (SELECT page_id, lower(trim(url)) AS u FROM pages),
         cut AS (

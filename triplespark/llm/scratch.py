@@ -32,6 +32,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as a URI that readers outside the JVM understand."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return whole if not whole.startswith("file:/") else "file:///" + whole.removeprefix("file:").lstrip("/")
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, sorted; none if there is no such folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(where)) if system.exists(where) else []
+
+
 class Scratch:
     """A folder of intermediate tables of one call of one operator."""
 

@@ -5,17 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The most rows of a side that is broadcast; a longer side is joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: The most bytes of a side that is broadcast; a larger side is joined by shuffle, with the same result.
+BROADCAST_BYTES = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``limit`` rows, else as it is. Counts no further than the limit."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its values take at most ``most`` bytes, else as it is. The size is measured by an
+    aggregate over all rows, so df should be a written table."""
+    width: Column = F.lit(24 + 8 * len(df.columns))
+    for f in df.schema.fields:
+        if f.dataType.simpleString() in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df
+
+
+def integer_id(docs: DataFrame, column: str = "doc_id") -> Column:
+    """The id as a long. Ids of other types than whole numbers are refused: a cast would make them null or merge them."""
+    kind = docs.schema[column].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{column} must be a whole number of up to 64 bits, not {kind}; map other ids to such numbers first")
+    return F.col(column).cast("long")
+
+
+#: The most copies of a row that one task makes where copies are spread.
+CHUNK_COPIES = 1 << 16
+
+
+def repeated(df: DataFrame, times: str, number: str, spread: bool, chunk: int = CHUNK_COPIES) -> DataFrame:
+    """Each row of df as often as its long column ``times`` says, numbered from 0 in ``number``; times itself goes.
+
+    The numbers come from two explodes, of the starts of chunks and of each chunk, so a large count makes no long
+    array. With ``spread`` the chunks of a row of more than one are shuffled, so no task makes all of its copies; df is
+    then read twice, and should be a written table.
+    """
+    end = F.least(F.col(times), F.col("__start") + chunk) - 1
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(chunk).cast("long")))
+    some = df.where(F.col(times) > 0)
+    if spread:
+        many = some.where(F.col(times) > chunk).withColumn("__start", starts)
+        many = many.repartition(F.xxhash64(*[c for c, t in many.dtypes if t in ("bigint", "int", "string")]))
+        split = some.where(F.col(times) <= chunk).withColumn("__start", F.lit(0).cast("long")).unionByName(many)
+    else:
+        split = some.withColumn("__start", starts)
+    return split.withColumn(number, F.explode(F.sequence(F.col("__start"), end))).drop("__start", times)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
