@@ -7,12 +7,12 @@ windows at that level grows least. Only that array of counts decides, so a step
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .tables import words
+from .tables import integer_id, repeated, words
 
 WINDOW, LANE_TOKENS = 2048, 4_000_000
 
@@ -69,30 +69,41 @@ def pack_lane(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.array(out, np.int64).reshape(-1, 5).T)
 
 
+_PLACED = "doc_id long, text_hash long, copy long, piece int, lane int, window long, offset int, tokens int"
+
+
 def _packer(window: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "doc_id", "copy"], kind="stable")
-        item, piece, which, offset, tokens = pack_lane(pdf["tokens"].to_numpy(), window)
-        ids = pdf["doc_id"].astype("Int64").iloc[item].reset_index(drop=True)
-        return pd.DataFrame({"doc_id": ids, "copy": pdf["copy"].to_numpy()[item], "piece": piece, "lane": int(pdf["lane"].iloc[0]), "window": which, "offset": offset, "tokens": tokens})
+    def run(items: pa.Table) -> pa.Table:
+        items = items.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("text_hash", "ascending"), ("copy", "ascending")])
+        item, piece, which, offset, tokens = pack_lane(items["tokens"].to_numpy(), window)
+        placed = items.take(pa.array(item)).select(["doc_id", "text_hash", "copy"])
+        for name, values, kind in (("piece", piece, pa.int32()), ("lane", np.repeat(items["lane"].to_numpy()[:1], len(item)), pa.int32()), ("window", which, pa.int64()), ("offset", offset, pa.int32()), ("tokens", tokens, pa.int32())):
+            placed = placed.append_column(name, pa.array(values, kind))
+        return placed
 
     return run
 
 
 def pack(spark: SparkSession, docs: DataFrame, window: int = WINDOW, lane_tokens: int = LANE_TOKENS, seed: int = 5) -> DataFrame:
-    """(doc_id, copy, piece, lane, window, offset, tokens): where each piece of each document goes.
+    """(doc_id, text_hash, copy, piece, lane, window, offset, tokens): where each piece of each document goes.
 
     Online packing is sequential, so documents are spread by a hash over lanes of about ``lane_tokens`` tokens, each
     packed by itself in hash order; the number of lanes follows the tokens of the corpus, and a lane's work and memory
-    stay the same at any size. Only doc_id and a token count are shuffled, never a text. Tokens are runs of non-space
-    characters. ``copy`` numbers the rows that share a doc_id (repetitions in a mixture are packed like any other
-    document and go to different lanes). Documents without tokens, of empty or null text, have no piece.
+    stay the same at any size. Only ids, hashes and token counts are shuffled, never a text. Tokens are runs of
+    non-space characters of the whole text; a text longer than a window fills windows of its own and leaves a rest.
+
+    A row is named by its doc_id, ``text_hash``, the xxhash64 of its text, and ``copy``, which numbers rows equal in both
+    from 0 (repetitions in a mixture, which are packed like any other document, in lanes of their own choosing); with
+    ``piece`` that is unique. doc_id must be a whole number of up to 64 bits and may be null or repeated. Documents
+    without tokens, of empty or null text, have no piece; an empty table gives an empty result. Other columns, whatever
+    their names, don't count.
     """
     scratch = Scratch(spark, "pack")
-    sized = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("tokens")).where("tokens > 0"), "sized")
-    total = sized.agg(F.sum("tokens")).first()[0] or 0
+    sized = docs.select(integer_id(docs).alias("doc_id"), words(F.col("text")).alias("tokens"), F.xxhash64("text").alias("text_hash")).where("tokens > 0")
+    counted = scratch.table(sized.groupBy("doc_id", "tokens", "text_hash").agg(F.count("*").alias("rows")), "counted")
+    total = counted.agg(F.sum(F.col("tokens") * F.col("rows"))).first()[0] or 0
     lanes = max(1, -(-total // lane_tokens))
-    counted = sized.groupBy("doc_id", "tokens").count().withColumn("c", F.explode(F.sequence(F.lit(0), (F.col("count") - 1).cast("int"))))
-    items = counted.select("doc_id", "tokens", F.col("c").alias("copy"), F.xxhash64("doc_id", "tokens", "c", F.lit(seed)).alias("key"))
+    items = repeated(counted, "rows", "copy", spread=True)
+    items = items.withColumn("key", F.xxhash64("doc_id", "tokens", "text_hash", "copy", F.lit(seed)))
     laned = items.withColumn("lane", F.pmod("key", F.lit(lanes)).cast("int"))
-    return laned.groupBy("lane").applyInPandas(_packer(window), "doc_id long, copy int, piece int, lane int, window long, offset int, tokens int")
+    return laned.groupBy("lane").applyInArrow(_packer(window), _PLACED)
