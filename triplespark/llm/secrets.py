@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .tables import small
+from .tables import integer_id, small
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pattern that the byte-level vocabularies of this family are used with.
@@ -27,7 +27,8 @@ LEAST, RATIO = 16, 2.5
 WORD = 2.1
 
 _ISSUED = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|sk_live_|AIza|glpat-)"
-_CREDENTIAL = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|auth|bearer|credential)s?[\"']?\s*(?:=|:|:=|=>|\s)\s*[\"']?$"
+_CREDENTIAL = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|auth|bearer|credential)s?$"
+_GAP = " \t\n\r\f\v\u00a0\"'=:>"
 _NAME = r"^[A-Za-z][A-Za-z_-]*[0-9]{0,4}$"
 _PART = r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+"
 _NUMBER = r"^[0-9TZ+_-]+$"
@@ -49,13 +50,33 @@ def is_name(run: str, enc: tiktoken.Encoding, ratio: float) -> bool:
     return all(len(p) >= ratio * min(len(enc.encode_ordinary(p)), len(enc.encode_ordinary(" " + p))) for p in long)
 
 
-def is_excluded(run: str, before: str, enc: tiktoken.Encoding) -> bool:
-    """Whether a run is a name, a number, a UUID or, unless ``before`` assigns it to a credential, a digest by form."""
+def lead_in(raw: np.ndarray, start: int, at: int, least: int = 16) -> str:
+    """What stands before byte ``at`` of a document that begins at ``start``: all white space, quotes and signs of
+    assignment, however many, and at least so many bytes before them, where the document has them."""
+    step = 4 * least
+    while True:
+        lo = max(start, at - step)
+        text = raw[lo:at].tobytes().decode(errors="replace")
+        if lo == start or len(text.rstrip(_GAP)) >= 2 * least:
+            return text
+        step *= 4
+
+
+def assigns(before: str) -> bool:
+    """Whether a text ends in the name of a credential and white space or one sign of assignment, quoted or not."""
+    name = before.rstrip(_GAP)
+    gap = re.sub(r"^[\"']|[\"']$", "", before[len(name) :])
+    return bool(gap) and gap.strip() in ("", "=", ":", ":=", "=>") and bool(re.search(_CREDENTIAL, name[-16:]))
+
+
+def is_excluded(run: str, before: Callable[[], str], enc: tiktoken.Encoding) -> bool:
+    """Whether a run is a name, a number, a UUID or, unless what stands ``before`` it assigns it to a credential, a
+    digest by form."""
     if re.search(_ISSUED, run):
         return False
     if re.search(_NUMBER, run) or re.search(_UUID, run) or is_name(run, enc, WORD):
         return True
-    return len(run) in _DIGESTS and bool(re.search(_HEX, run)) and not re.search(_CREDENTIAL, before)
+    return len(run) in _DIGESTS and bool(re.search(_HEX, run)) and not assigns(before())
 
 
 def candidates(run: str, enc: tiktoken.Encoding, least: int) -> list[tuple[int, str]]:
@@ -136,7 +157,7 @@ def _scanner(sent, least: int, ratio: float):
                 lead = None
                 found = ((doc, a + i, value) for doc, a, b in zip(*(x.tolist() for x in runs(raw, offs, least)), strict=True) for i, value in candidates(raw[a:b].tobytes().decode(), enc, least))
                 for doc, a, value in found:
-                    if is_excluded(value, raw[max(int(offs[doc]), a - 32) : a].tobytes().decode(errors="replace"), enc):
+                    if is_excluded(value, lambda doc=doc, a=a: lead_in(raw, int(offs[doc]), a), enc):
                         continue
                     n = len(enc.encode_ordinary(value))
                     if len(value) >= ratio * n:
@@ -157,13 +178,16 @@ def secret_scan(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULA
     """(doc_id, start, length, tokens, chars_per_token, fingerprint) of each string that looks random.
 
     ``start`` counts characters from 0; ``fingerprint`` is the SHA-256 of the string, which itself stays out of the
-    report. ``known`` is a table with a column ``digest`` of strings that are no secrets, in either case of letters.
-    Null and empty texts have no strings; a string counts at each place and in each row it occurs in; a null doc_id
-    is reported as null. Only runs of at least ``least`` characters are tokenised.
+    report. ``known`` is a table with a column ``digest`` of strings that are no secrets, in either case of letters;
+    null ones are skipped. Null and empty texts have no strings, an empty table gives an empty result; a string counts
+    at each place and in each row it occurs in; doc_id must be a whole number of up to 64 bits, a null one is reported
+    as null. A string whose ratio equals ``ratio`` isn't reported. Only runs of at least ``least`` characters are
+    tokenised, each whole, as texts are. Other columns, whatever their names, don't count. A string of the form of a
+    digest is a secret if a credential's name is all that stands before it, with any amount of white space between.
     """
     with open(vocabulary, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.where("text is not null").select(integer_id(docs).alias("doc_id"), "text")
     found = texts.mapInArrow(_scanner(sent, least, ratio), "doc_id long, start int, length int, tokens int, value string")
     if known is not None:
         ours = small(known.select(F.lower("digest").alias("d")).where("d is not null").distinct())
