@@ -46,3 +46,37 @@ def test_stage_keeps_one_row_a_text_and_all_columns(spark):
 def test_empty(spark):
     docs = cases.table(spark, [])
     assert e.duplicates(spark, docs).count() == 0 and e.exact_dedup(spark, docs).count() == 0
+
+
+def test_ids_over_all_64_bits_and_outliers(spark):
+    rng = np.random.default_rng(1)
+    ids = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 60)] + [-(1 << 63), (1 << 63) - 1]
+    rows = [(i, f"text {k % 40}", "en", "s", 1) for k, i in enumerate(ids)]
+    assert {tuple(r) for r in e.duplicates(spark, cases.table(spark, rows), 4, 8).collect()} == brute(rows)
+    with pytest.raises(TypeError):
+        e.duplicates(spark, cases.table(spark, rows).selectExpr("cast(doc_id as string) as doc_id", "text"))
+
+
+def test_a_later_batch_reads_the_stored_filters(spark, tmp_path):
+    store = e.Snapshots(spark, f"file://{tmp_path}/store", 8)
+    first = cases.table(spark, [(i, f"text {i % 25}", "en", "s", 1) for i in range(10, 40)])
+    assert {tuple(r) for r in e.arrivals(spark, store, first).collect()} == {(i, i - 25) for i in range(35, 40)}
+    (name,) = store.names()
+    made = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / name).rglob("*.parquet")}
+    again = e.Snapshots(spark, f"file://{tmp_path}/store", 1)  # opened anew: its shards are those of the filters
+    rows = [(1, "text 3", "en", "s", 1), (2, "new", "en", "s", 1), (3, "new", "en", "s", 1), (4, None, "en", "s", 1), (5, "alone", "en", "s", 1), (None, "text 3", "en", "s", 1)]
+    with pytest.raises(ValueError):
+        e.arrivals(spark, again, cases.table(spark, rows))
+    assert {tuple(r) for r in e.arrivals(spark, again, cases.table(spark, rows), first).collect()} == {(1, 28), (3, 2)}
+    assert len(again.names()) == 2 and all(p.stat().st_mtime_ns == t for p, t in made.items())
+    assert e.arrivals(spark, again, cases.table(spark, []), first).count() == 0
+
+
+def test_texts_of_shared_digests_are_compared(spark):
+    from triplespark.llm.scratch import Scratch
+
+    scratch = Scratch(spark, "collide")
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "c")], "doc_id long, text string")
+    keys = e.keys_of(docs)
+    apart = e.verified(docs, keys, keys.select("digest").distinct(), scratch)
+    assert {(r["doc_id"], r["keep_id"]) for r in apart.collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
