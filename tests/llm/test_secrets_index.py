@@ -1,5 +1,6 @@
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,7 @@ def test_keys_and_lookup(spark):
     rows = [(1, "HTTP://www.Site.Example.com/A/?z=1&b=2"), (2, "https://site.example.com/a?b=2&z=1#top"), (3, "http://other.org"), (4, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     assert [r[0] for r in pages.select(c.url_key(pages["url"])).collect()] == ["com,example,site)/a?b=2&z=1", "com,example,site)/a?b=2&z=1", "org,other)/", None]
-    index = c.build(spark, pages, block_rows=1)
+    index = c.build(spark, c.captures_in(pages), block_rows=1)
     asked = spark.createDataFrame([("com,example,site)/a?b=2&z=1",), ("absent)/",), (None,)], "key string")
     assert sorted(r["page_id"] for r in c.lookup(spark, index, asked).collect()) == [1, 2]
     assert c.captures_of_pages(spark, pages.limit(0)).count() == 0
@@ -88,3 +89,46 @@ def test_line_feeds_and_backslashes_in_urls(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     got = {r["page_id"]: (r["captures"], r["first_page_id"]) for r in c.captures_of_pages(spark, pages).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 3: (1, 3), 4: (1, 4), 5: (1, 5)}
+
+
+def test_a_lookup_reads_its_blocks_alone(spark):
+    rows = [(i, f"http://h{i:04d}.org/a", "f.warc", 10 * i, 7) for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, warc_file string, warc_offset long, warc_length long")
+    index = c.build(spark, c.captures_in(pages), block_rows=50, shard_rows=1000)
+    assert len(index.shards) == 3 and sum(s[2] for s in index.shards) >= 60
+    size = sum(p.stat().st_size for p in Path(index.folder.removeprefix("file://")).iterdir() if p.suffix != ".dir")
+    asked = spark.createDataFrame([("org,h1234)/a",)], "key string")
+    assert [tuple(r) for r in c.lookup(spark, index, asked).collect()] == [("org,h1234)/a", 1234, "f.warc", 12340, 7)]
+    assert index.reads.value == 1 and 0 < index.bytes_read.value < size / 40
+    assert c.lookup(spark, index, spark.createDataFrame([("org,h9999)/a",), ("a)/",)], "key string")).count() == 0 and index.reads.value == 1
+
+
+def test_a_hot_key_and_long_keys(spark):
+    rows = [(i, "http://hot.org/") for i in range(900)] + [(2000, "http://long.org/" + "x" * 100_000), (2001, "http://long.org/" + "x" * 100_000), (2002, "http://a.org")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: (r["captures"], r["first_page_id"]) for r in c.captures_of_pages(spark, pages, block_rows=20, shard_rows=100).collect()}
+    assert got == {**{i: (900, 0) for i in range(900)}, 2000: (2, 2000), 2001: (2, 2000), 2002: (1, 2002)}
+    with pytest.raises(TypeError):
+        c.captures_of_pages(spark, pages.selectExpr("cast(page_id as string) as page_id", "url"))
+
+
+def test_gap_between_a_credential_and_a_digest(spark):
+    texts = {1: f"token ={' ' * 500}'{HEX}'", 2: f"the api key:\n\n\t{HEX}", 3: f"{' ' * 500}{HEX}", 4: f"monkey business {HEX}", 5: f"key = and then {HEX}"}
+    assert {r["doc_id"] for r in scan(spark, [(i, t, "en", "s", 1) for i, t in texts.items()])} == {1, 2}
+    assert s.assigns("key" + " " * 200_000 + "=") and not s.assigns("key") and not s.assigns(" " * 200_000 + "x ")
+
+
+def test_scan_equals_a_row_by_row_scan(spark):
+    """Runs by a regex, exclusions by the stated rules, tokens by the encoder, a text at a time."""
+    rng = np.random.default_rng(8)
+    pick = lambda n, letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(list(letters), n))
+    rows = [(i, f"{cases.words(20, i)} {pick(12 + i % 30)} ünd {pick(20, '0123456789abcdef')}. {'password=' if i % 3 else ''}{pick(40, '0123456789abcdef')}", "en", "s", 1) for i in range(120)]
+    enc, want = s.encoder(open(s.VOCABULARY, "rb").read()), set()
+    for i, t, *_ in rows:
+        for m in re.finditer(r"[A-Za-z0-9_+-]{16,}", t):
+            v, n = m[0], len(enc.encode_ordinary(m[0]))
+            digest = len(v) == 40 and re.fullmatch("[0-9a-f]+", v) and not t[: m.start()].endswith("password=")
+            if not digest and not re.fullmatch("[0-9]+", v) and not s.is_name(v, enc, s.WORD) and len(v) / n < s.RATIO:
+                want.add((i, m.start(), len(v), n, hashlib.sha256(v.encode()).hexdigest()))
+    got = {(r["doc_id"], r["start"], r["length"], r["tokens"], r["fingerprint"]) for r in scan(spark, rows)}
+    assert got == want and len(want) > 150

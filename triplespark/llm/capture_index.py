@@ -1,25 +1,29 @@
 """A two-level index of web captures.
 
-Captures are sorted by reversed-host URL key into shards of compressed blocks. A sparse directory keeps the first and
-last key of each block. A lookup finds its shards by binary search over the shards' bounds, its blocks by binary search
-over the shard's directory, and then reads those blocks alone.
+Captures are sorted by reversed-host URL key into shards, each a file of compressed blocks in shared storage. Beside it
+lies its sparse directory: the first and last key of each block, and where in the file it is. A lookup finds its shards
+by binary search over the shards' bounds, its blocks by binary search over the shard's directory, and then reads those
+ranges of bytes alone.
 """
 
 from __future__ import annotations
 
 import bisect
-import zlib
+import io
+import itertools
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
-from .tables import small
+from .scratch import Scratch, qualified
+from .tables import integer_id
 
 BLOCK_ROWS, SHARD_ROWS, MOST_SHARDS = 1000, 200_000, 10_000
 
@@ -37,115 +41,166 @@ def url_key(url: Column) -> Column:
     return F.when(host != "", F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), shown, F.lit(")"), F.when(path == "", F.lit("/")).otherwise(path), asked))
 
 
+#: Where a capture's record lies, kept in the index if the table has all three columns.
+LOCATION = {"warc_file": "string", "warc_offset": "long", "warc_length": "long"}
+_ENTRY = "key string, page_id long, " + ", ".join(f"{n} {t}" for n, t in LOCATION.items())
+_SHARD = "shard int, file string, blocks int, rows long, lo string, hi string"
+
+
 @dataclass
 class Index:
-    """blocks: (shard, block, first_key, last_key, rows, payload), sorted; the directory is all of it but payload."""
+    """``shards`` has (shard, file, blocks, rows, lo, hi), a row for each file in ``folder``; the directory of a file is
+    the file of that name and ``.dir``. ``reads`` and ``bytes_read`` count what lookups have read of the blocks."""
 
-    blocks: DataFrame
-    bounds: list[tuple[int, bytes, bytes]]
+    folder: str
+    shards: list[tuple[int, str, int, int, str, str]]
+    reads: Accumulator
+    bytes_read: Accumulator
 
-    @property
-    def directory(self) -> DataFrame:
-        return self.blocks.select("shard", "block", "first_key", "last_key")
 
+def _packed(table: pa.Table | pa.RecordBatch) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write(table)
+    return out.getvalue()
 
-def _line(key: str) -> str:
-    """A key without line feeds, which end a row of a block."""
-    return key.replace("\\", "\\\\").replace("\n", "\\n")
 
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
-def _compress(block_rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, made, held = TaskContext.get().partitionId(), 0, []
 
-        def block(rows: list[tuple[str, int]]) -> pa.RecordBatch:
-            lines = "\n".join(f"{_line(key)} {'' if page is None else page}" for key, page in rows)
-            values = [[shard], [made], [rows[0][0]], [rows[-1][0]], [len(rows)], [zlib.compress(lines.encode(), 6)]]
-            types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], ["shard", "block", "first_key", "last_key", "rows", "payload"])
+def _writer(folder: str, block_rows: int):
+    """Writes a task's sorted captures to a file of its own. The name is new at each attempt, and only attempts that
+    succeed are listed, so one that is lost or runs twice leaves a file that nothing reads."""
 
-        for batch in batches:
-            held += zip(batch["key"].to_pylist(), batch["page_id"].to_pylist(), strict=True)
-            while len(held) >= block_rows:
-                yield block(held[:block_rows])
-                made, held = made + 1, held[block_rows:]
-        if held:
-            yield block(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        name, at, rows, entries, held = f"shard-{uuid.uuid4().hex}", 0, 0, [], None
+        out = None
+        for batch in itertools.chain(_tables(batches), [None]):
+            held = batch if held is None else held if batch is None else pa.concat_tables([held, batch])
+            while held is not None and held.num_rows and (held.num_rows >= block_rows or batch is None):
+                block, held = held.slice(0, block_rows).combine_chunks(), held.slice(block_rows)
+                if out is None:
+                    system.create_dir(root, recursive=True)
+                    out = system.open_output_stream(f"{root}/{name}")
+                data = _packed(block)
+                out.write(data)
+                entries.append((block["key"][0].as_py(), block["key"][-1].as_py(), at, len(data)))
+                at, rows = at + len(data), rows + block.num_rows
+        if out is not None:
+            out.close()
+            kinds = [("first", pa.string()), ("last", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
+            with system.open_output_stream(f"{root}/{name}.dir") as d:
+                d.write(_packed(pa.table({n: pa.array([e[i] for e in entries], t) for i, (n, t) in enumerate(kinds)})))
+            values = [TaskContext.get().partitionId(), name, len(entries), rows, entries[0][0], entries[-1][1]]
+            types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [c.split(" ")[0] for c in _SHARD.split(", ")])
 
     return run
 
 
-def build(spark: SparkSession, pages: DataFrame, block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS) -> Index:
-    """The index of the pages whose URL has a host. The number of shards follows the number of pages, up to a bound
-    that keeps the shards' bounds small; a key with more captures than a shard holds goes on in the next."""
-    captures = pages.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id")).where("key is not null")
-    shards = min(MOST_SHARDS, max(1, -(-captures.count() // shard_rows)))
-    spread = captures.repartitionByRange(shards, "key", "page_id").sortWithinPartitions("key", "page_id")
-    blocks = spread.mapInArrow(_compress(block_rows), "shard int, block int, first_key string, last_key string, rows int, payload binary")
-    blocks = Scratch(spark, "captures").table(blocks, "blocks")
-    ends = blocks.groupBy("shard").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).orderBy("shard").collect()
-    return Index(blocks, [(r["shard"], r["lo"].encode(), r["hi"].encode()) for r in ends])
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    for batch in batches:
+        yield pa.Table.from_batches([batch])
+
+
+def captures_in(pages: DataFrame) -> DataFrame:
+    """(key, page_id, location columns) of all pages; the key is null without a host."""
+    named = set(LOCATION) <= set(pages.columns)
+    place = [(F.col(n) if named else F.lit(None)).cast(t).alias(n) for n, t in LOCATION.items()]
+    return pages.select(url_key(F.col("url")).alias("key"), integer_id(pages, "page_id").alias("page_id"), *place)
+
+
+def build(spark: SparkSession, captures: DataFrame, block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS) -> Index:
+    """The index of the captures (see :func:`captures_in`; a written table) that have a key.
+
+    The number of shards follows the number of captures, up to a bound that keeps the shards' bounds small; a key with
+    more captures than a shard holds goes on in the next, as rows are spread by key and page_id. Nothing is dropped.
+    """
+    some = captures.where("key is not null")
+    shards = min(MOST_SHARDS, max(1, -(-some.count() // shard_rows)))
+    spread = some.repartitionByRange(shards, "key", "page_id", F.xxhash64("page_id")).sortWithinPartitions("key", "page_id")
+    scratch = Scratch(spark, "captures")
+    folder = qualified(spark, f"{scratch.path}/blocks")
+    made = scratch.table(spread.mapInArrow(_writer(folder, block_rows), _SHARD), "shards").orderBy("lo", "hi", "shard").collect()
+    return Index(folder, [tuple(r) for r in made], spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
 
 
 def _route(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = sent.value
-        lows, highs = [b[1] for b in bounds], [b[2] for b in bounds]
+        shards = sent.value
+        lows, highs = [s[4].encode() for s in shards], [s[5].encode() for s in shards]
         for batch in batches:
-            keys, shards = [], []
+            keys, at = [], []
             for key in batch["key"].to_pylist():
                 k = key.encode()
                 for i in range(bisect.bisect_left(highs, k), bisect.bisect_right(lows, k)):
                     keys.append(key)
-                    shards.append(bounds[i][0])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(shards, pa.int32())], ["key", "shard"])
+                    at.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(at, pa.int32())], ["key", "at"])
 
     return run
 
 
-def _locate(asked: pd.DataFrame, directory: pd.DataFrame) -> pd.DataFrame:
-    directory = directory.sort_values("block")
-    lows, highs = [k.encode() for k in directory["first_key"]], [k.encode() for k in directory["last_key"]]
-    blocks, out = directory["block"].tolist(), []
-    for key, shard in zip(asked["key"], asked["shard"], strict=True):
-        k = key.encode()
-        out += [(shard, blocks[i], key) for i in range(bisect.bisect_left(highs, k), bisect.bisect_right(lows, k))]
-    return pd.DataFrame(out, columns=["shard", "block", "key"])
+def _reader(sent, folder: str, reads: Accumulator, bytes_read: Accumulator):
+    """For asked keys sorted by shard and key: opens each shard once, finds each key's blocks in its directory by binary
+    search, and reads every block that some key needs once."""
+
+    def of_shard(system: fs.FileSystem, root: str, name: str, keys: list[str]) -> Iterator[pa.Table]:
+        with system.open_input_stream(f"{root}/{name}.dir") as d:
+            directory = _unpacked(d.read())
+        firsts, lasts = ([k.encode() for k in directory[c].to_pylist()] for c in ("first", "last"))
+        wanted: dict[int, list[str]] = {}
+        for key in keys:
+            k = key.encode()
+            for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k)):
+                wanted.setdefault(i, []).append(key)
+        with system.open_input_file(f"{root}/{name}") as blocks:
+            for i, here in sorted(wanted.items()):
+                size = directory["length"][i].as_py()
+                block = _unpacked(blocks.read_at(size, directory["offset"][i].as_py()))
+                reads.add(1)
+                bytes_read.add(size)
+                yield block.filter(pc.is_in(block["key"], pa.array(here, pa.string())))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        shards, last, keys = sent.value, None, []
+        for batch in itertools.chain(batches, [None]):
+            rows = zip(batch["at"].to_pylist(), batch["key"].to_pylist(), strict=True) if batch is not None else [(None, None)]
+            for at, key in rows:
+                if at != last:
+                    if last is not None:
+                        for found in of_shard(system, root, shards[last][1], keys):
+                            yield from found.to_batches()
+                    last, keys = at, []
+                keys.append(key)
 
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, pages = [], []
-        for payload, asked in zip(batch["payload"].to_pylist(), batch["asked"].to_pylist(), strict=True):
-            wanted = {_line(key): key for key in asked}
-            for line in zlib.decompress(payload).decode().split("\n"):
-                key, _, page = line.rpartition(" ")
-                if key in wanted:
-                    keys.append(wanted[key])
-                    pages.append(int(page) if page else None)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(pages, pa.int64())], ["key", "page_id"])
+    return run
 
 
 def lookup(spark: SparkSession, index: Index, keys: DataFrame) -> DataFrame:
-    """(key, page_id) of every capture of the distinct non-null values of ``key``; keys without captures give no row."""
-    sent = spark.sparkContext.broadcast(index.bounds)
-    asked = keys.select("key").where("key is not null").distinct().mapInArrow(_route(sent), "key string, shard int")
-    located = asked.groupBy("shard").cogroup(index.directory.groupBy("shard")).applyInPandas(_locate, "shard int, block int, key string")
-    needed = located.groupBy("shard", "block").agg(F.collect_list("key").alias("asked"))
-    read = index.blocks.select("shard", "block", "payload").join(needed, ["shard", "block"])
-    return read.select("payload", "asked").mapInArrow(_probe, "key string, page_id long")
+    """(key, page_id, warc_file, warc_offset, warc_length) of every capture of the distinct non-null values of ``key``;
+    keys without captures give no row. A shard's keys are looked up by one task, which holds no more than one block."""
+    sent = spark.sparkContext.broadcast(index.shards)
+    asked = keys.select("key").where("key is not null").distinct().mapInArrow(_route(sent), "key string, at int")
+    sorted_ = asked.repartition("at").sortWithinPartitions("at", "key")
+    return sorted_.mapInArrow(_reader(sent, index.folder, index.reads, index.bytes_read), _ENTRY)
 
 
 def captures_of_pages(spark: SparkSession, pages: DataFrame, **parameters) -> DataFrame:
     """(page_id, url_key, captures, first_page_id): each page's URL looked up in the index of all pages.
 
-    A page whose URL is null or has no host isn't indexed: its key is null and it has 0 captures. Repeated rows are
-    captures of their own and each is looked up; an empty table gives an empty result.
+    A page whose URL is null, empty or has no host isn't indexed: its key is null and it has 0 captures. URLs are taken
+    whole, however long, with whatever characters. Repeated rows are captures of their own and each is looked up; a
+    null page_id counts as a capture but is never the first. page_id must be a whole number of up to 64 bits. An empty
+    table gives an empty result; other columns don't count, but for those of :data:`LOCATION`. The counts are joined
+    back by key, by a shuffle that is split where a key is hot.
     """
-    index = build(spark, pages, **parameters)
-    asked = pages.select(F.col("page_id").cast("long").alias("page_id"), url_key(F.col("url")).alias("url_key"))
-    found = lookup(spark, index, asked.select(F.col("url_key").alias("key")))
-    found = found.groupBy("key").agg(F.count("*").alias("captures"), F.min("page_id").alias("first_page_id"))
-    found = Scratch(spark, "captures").table(found, "found")
-    joined = asked.join(small(found), F.col("url_key") == F.col("key"), "left")
+    captures = Scratch(spark, "captures").table(captures_in(pages), "captures")
+    index = build(spark, captures, **parameters)
+    found = lookup(spark, index, captures.select("key")).groupBy("key").agg(F.count("*").alias("captures"), F.min("page_id").alias("first_page_id"))
+    asked = captures.select("page_id", F.col("key").alias("url_key"))
+    joined = asked.join(found, F.col("url_key") == F.col("key"), "left")
     return joined.select("page_id", "url_key", F.coalesce("captures", F.lit(0)).cast("long").alias("captures"), "first_page_id")
