@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from triplespark.llm import components, near_dedup, scratch, textvec
 
@@ -51,8 +52,10 @@ def test_groups_against_brute_force(spark):
     got = {tuple(r) for r in near_dedup.groups(spark, cases.table(spark, rows)).collect()}
     keep = dict(got)
     found = sum(keep.get(a, a) == keep.get(b, b) for a, b in pairs)
-    assert found >= 0.9 * len(pairs) and got <= {(a, b) for a, b in got if a > b}
-    assert len(got - want) <= 0.1 * len(want)
+    assert found >= 0.97 * len(pairs)
+    loose = brute(rows, 0.5)[1]  # the threshold in use: what is found is true, and nearly all of it is found
+    root = dict(loose)
+    assert all(a > b and root.get(a, a) == root.get(b, b) for a, b in got) and len(got) >= 0.99 * len(loose) and len(want) <= len(loose)
 
 
 def test_near_copies_with_scattered_words_replaced(spark):
@@ -121,3 +124,34 @@ def test_components_of_random_graphs(spark):
     got = {tuple(r) for r in components.components(df, scratch.Scratch(spark, "t"), "c").collect()}
     assert got == {(x, find(x)) for x in list(root)}
     assert components.components(df.limit(0), scratch.Scratch(spark, "t"), "c").count() == 0
+
+
+def test_large_buckets_in_blocks_give_the_same_groups(spark):
+    """Documents that share a passage but little else fill a few buckets; near copies of some of them are among them."""
+    shared, rows = cases.words(60, 1), []
+    for k in range(120):
+        w = f"{shared} {cases.words(60, 100 + k)}".split()
+        rows.append((2 * k, " ".join(w), "en", "s", 1))
+        if k % 10 == 0:
+            w[90] = "changed"
+            rows.append((2 * k + 1, " ".join(w), "en", "s", 1))
+    want = brute(rows, 0.5)[1]
+    assert want == {(2 * k + 1, 2 * k) for k in range(0, 120, 10)}
+    for listed, block in ((64, 1024), (2, 1024), (2, 8)):
+        got = {tuple(r) for r in near_dedup.groups(spark, cases.table(spark, rows), listed=listed, block=block).collect()}
+        assert got == want
+
+
+def test_copies_of_the_same_words_need_no_pairs(spark):
+    text = cases.words(40, 9)
+    rows = [(i, text if i % 2 else text.upper(), "en", "s", 1) for i in range(3, 400)] + [(900, cases.words(40, 10), "en", "s", 1), (7, cases.words(40, 10), "en", "s", 1)]
+    got = {tuple(r) for r in near_dedup.groups(spark, cases.table(spark, rows)).collect()}
+    assert got == {(i, 3) for i in range(4, 400)} | {(900, 3)}  # document 7 has two versions, which join the two groups
+
+
+def test_rounds_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(chain, scratch.Scratch(spark, "t"), "c", rounds=2)
+    star = spark.createDataFrame([(0, i) for i in range(1, 500)] + [(i, i + 500) for i in range(1, 500)], "a long, b long")
+    assert {r["comp"] for r in components.components(star, scratch.Scratch(spark, "t"), "c").collect()} == {0}
