@@ -69,6 +69,25 @@ class HashingEmbedder:
         return out / np.maximum(1e-12, np.linalg.norm(out, axis=1, keepdims=True))
 
 
+class LetterEmbedder:
+    """How often each letter and digit occurs, in either case: vectors that SQL can compute too."""
+
+    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return np.array([[low.count(c) for c in self.alphabet] for low in map(str.lower, texts)], np.float32).reshape(len(texts), len(self.alphabet))
+
+
+class PatternEntities:
+    """Finds what a pattern matches, all of one type."""
+
+    def __init__(self, pattern: str, label: str):
+        self.pattern, self.label = pattern, label
+
+    def predict(self, text: str) -> list[tuple[int, int, str]]:
+        return [(m.start(), m.end(), self.label) for m in re.finditer(self.pattern, text)]
+
+
 class Gazetteer:
     """Finds listed names, longest first, as whole words."""
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from abc import ABC, abstractmethod
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decomposition_type, html_text, source_label
 from ..schema import CHUNK_INFO, MULTIHOP_ROW, WEB_ROW
+from .storage import list_folder
 
 
 def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
@@ -23,25 +25,27 @@ def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     return out
 
 
-def lines_with_position(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+def lines_with_position(spark: SparkSession, path: str) -> DataFrame:
     """(position, value): lines of a text file, plain or compressed, with their 0-based numbers.
 
-    Numbers come from one count a partition and an offset; the file is never gathered. ``most`` stops the scan early.
+    Numbers come from one count a partition and an offset; the file is read in parallel, twice, and never gathered.
     """
-    text = spark.read.text(path)
-    if most is not None:
-        text = text.limit(most)
-    numbered = text.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    numbered = spark.read.text(path).withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
     sizes = numbered.groupBy("__part").count().withColumn("offset", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = numbered.join(F.broadcast(sizes.select("__part", "offset")), "__part")
+    joined = numbered.join(F.broadcast(sizes.select("__part", "offset")), "__part")  # a row for each partition of the file
     return joined.select((F.col("offset") + F.col("__id") - F.shiftleft("__part", 33)).alias("position"), "value")
 
 
-def at_positions(spark: SparkSession, path: str, ids: list[int], schema: str) -> DataFrame:
-    """(query_id, fields of schema) of the lines at these positions; other lines are never parsed."""
-    if not ids:
+def at_positions(spark: SparkSession, path: str, ids: list[int] | DataFrame, schema: str) -> DataFrame:
+    """(query_id, fields of schema) of the lines at these positions, a list or a table (position); other lines are never
+    parsed."""
+    lines = lines_with_position(spark, path)
+    if isinstance(ids, DataFrame):
+        kept = lines.join(ids.select(F.col("position").cast("long").alias("position")).distinct(), "position", "left_semi")
+    elif ids:
+        kept = lines.where(F.col("position").isin(*ids))
+    else:
         return spark.createDataFrame([], f"query_id long, {schema}")
-    kept = lines_with_position(spark, path, max(ids) + 1).where(F.col("position").isin(*ids))
     return kept.select(F.col("position").alias("query_id"), F.from_json("value", schema).alias("r")).select("query_id", "r.*")
 
 
@@ -57,33 +61,68 @@ def valid_ids(arguments: DataFrame, column: str = "ids", low: int = 0, high: int
 
 
 def chunk_info(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """(file_idx, chunk_idx, source, chunk, entities, triples) of the files that exist, each a JSON list."""
-    out = None
-    for i, p in enumerate(existing(spark, paths)):
-        array = spark.read.text(p, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in _fields(CHUNK_INFO))}>>")).alias("chunk_idx", "c"))
-        one = array.select(F.lit(i).alias("file_idx"), "chunk_idx", "c.*")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], f"file_idx int, chunk_idx int, {CHUNK_INFO}")
-
-
-def _fields(ddl: str) -> list[str]:
-    out, depth, at = [], 0, 0
-    for i, c in enumerate(ddl + ","):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append(ddl[at:i].strip())
-            at = i + 1
-    return out
+    """(file_idx, chunk_idx, source, chunk, entities, triples) of the files that exist, each a JSON list.
+
+    All files are read by one scan, whatever their number; a file's number is its place among those that exist. A path may
+    also be a folder of one such file, as Spark writes it.
+    """
+    found = existing(spark, paths)
+    if not found:
+        return spark.createDataFrame([], f"file_idx int, chunk_idx int, {CHUNK_INFO}")
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    index: dict[str, int] = {}
+    for i, p in enumerate(found):
+        uri = path_of(p).getFileSystem(conf).makeQualified(path_of(p)).toUri().toString()
+        index.setdefault(re.sub("^file:/+", "/", uri), i)
+    numbers = spark.createDataFrame(list(index.items()), "__file string, file_idx int")
+    rows = spark.read.schema(CHUNK_INFO).option("multiLine", True).json(list(dict.fromkeys(found)))
+    rows = rows.select("*", plain(F.col("_metadata.file_path")).alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    folders = numbers.select(F.col("__file").alias("__folder"), F.col("file_idx").alias("__idx"))
+    rows = rows.withColumn("__folder", F.regexp_replace("__file", "/[^/]*$", ""))
+    rows = rows.join(F.broadcast(numbers), "__file", "left").join(F.broadcast(folders), "__folder", "left")  # a row for each path
+    rows = rows.withColumn("file_idx", F.coalesce("file_idx", "__idx"))
+    order = Window.partitionBy("file_idx").orderBy("__at")
+    return rows.select("file_idx", (F.row_number().over(order) - 1).alias("chunk_idx"), "source", "chunk", "entities", "triples")
+
+
+def _within(value: Column, bits: int, what: str) -> Column:
+    fits = (value >= 0) & (value < F.lit(1 << bits))
+    return F.when(fits, value.cast("long")).otherwise(F.raise_error(F.lit(f"more than 2^{bits} {what}")).cast("long"))
 
 
 def triples_of(chunks: DataFrame) -> DataFrame:
-    """(ord, subject, label, object, subject_type, object_type): the triples of chunk-info rows in file order."""
+    """(ord, subject, label, object, subject_type, object_type): the triples of chunk-info rows in file order.
+
+    ``ord`` holds up to 2^19 files, 2^28 chunks a file and 2^16 triples a chunk; more raise an error.
+    """
     t = chunks.select("file_idx", "chunk_idx", "entities", F.posexplode("triples").alias("triple_idx", "t"))
-    order = (F.col("file_idx").cast("long") * F.lit(1 << 20) + F.col("chunk_idx")) * F.lit(1 << 16) + F.col("triple_idx")
+    order = (_within(F.col("file_idx"), 19, "files") * F.lit(1 << 28) + _within(F.col("chunk_idx"), 28, "chunks of a file")) * F.lit(1 << 16) + _within(F.col("triple_idx"), 16, "triples of a chunk")
     kind = lambda c: F.try_element_at("entities", F.col(c))
     return t.select(order.alias("ord"), F.col("t.subject").alias("subject"), F.col("t.relationship").alias("label"), F.col("t.object").alias("object"), kind("t.subject").alias("subject_type"), kind("t.object").alias("object_type"))
 
 
+class ChunkCache:
+    """Chunk-info rows of queries as JSON lines, a folder for each query: what is there is read, what isn't is built once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def present(self) -> set[int]:
+        return {int(n.removeprefix("query_id=")) for n in list_folder(self.spark, self.path) if n.startswith("query_id=")}
+
+    def get(self, ids: list[int], build: Callable[[list[int]], DataFrame]) -> DataFrame:
+        """(query_id, file_idx, chunk_idx, source, chunk, entities, triples) of these queries; ``build`` makes such rows of
+        those without a folder."""
+        if missing := sorted(set(ids) - self.present()):
+            build(missing).write.partitionBy("query_id").mode("append").json(self.path)
+        if not self.present():
+            return self.spark.createDataFrame([], f"query_id int, file_idx int, chunk_idx int, {CHUNK_INFO}")
+        rows = self.spark.read.schema(f"file_idx int, chunk_idx int, {CHUNK_INFO}, query_id int").json(self.path)
+        return rows.where(F.col("query_id").isin(*ids)).select("query_id", "file_idx", "chunk_idx", "source", "chunk", "entities", "triples")
+
+
 def write_chunk_info(chunks: DataFrame, path: str) -> None:
     """Writes chunk-info rows as JSON lines; ``mode('ignore')`` semantics make it a cache."""
     chunks.write.mode("ignore").json(path)
@@ -107,13 +146,20 @@ class Corpus(ABC):
     def contents(self, spark: SparkSession, **which) -> DataFrame: ...
 
 
+def paragraphs_of(rows: DataFrame) -> DataFrame:
+    """(query_id, source_label, content) of the paragraphs of rows; of equal labels of a query the last counts."""
+    each = rows.select("query_id", F.posexplode("paragraphs").alias("pos", "p"))
+    labelled = each.select("query_id", "pos", source_label(F.col("p.idx"), F.col("p.title")).alias("source_label"), F.col("p.paragraph_text").alias("content"))
+    return labelled.groupBy("query_id", "source_label").agg(F.max_by("content", "pos").alias("content"))
+
+
 class MultihopCorpus(Corpus):
     """JSON lines whose rows carry a question, its decomposition and its paragraphs."""
 
     def __init__(self, path: str):
         self.path = path
 
-    def queries(self, spark: SparkSession, ids: list[int]) -> DataFrame:
+    def queries(self, spark: SparkSession, ids: list[int] | DataFrame) -> DataFrame:
         rows = at_positions(spark, self.path, ids, MULTIHOP_ROW)
         return rows.withColumn("decomposition_type", decomposition_type(F.transform("question_decomposition", lambda q: q["question"])))
 
@@ -123,9 +169,7 @@ class MultihopCorpus(Corpus):
         rows = self.queries(spark, which["query_ids"])
         if missing := set(which["query_ids"]) - {r[0] for r in rows.select("query_id").collect()}:
             raise KeyError(f"no such query: {sorted(missing)}")
-        each = rows.select("query_id", F.posexplode("paragraphs").alias("pos", "p"))
-        labelled = each.select("query_id", "pos", source_label(F.col("p.idx"), F.col("p.title")).alias("source_label"), F.col("p.paragraph_text").alias("content"))
-        return labelled.groupBy("query_id", "source_label").agg(F.max_by("content", "pos").alias("content"))
+        return paragraphs_of(rows)
 
 
 class WebCorpus(Corpus):
