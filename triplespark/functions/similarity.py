@@ -1,57 +1,83 @@
-"""Fuzzy and cosine top-n matching, and the assignment of scored labels to targets."""
+"""Fuzzy and cosine top-n matching, and the assignment of scored labels to targets.
+
+A search takes a stated set of queries against all candidates. Queries of at most ``BROADCAST_BYTES`` are sent to the
+tasks, each of which keeps the best of the candidates it reads; more queries meet the candidates in blocks of both. The
+result is the same, and no table of pairs is made.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The most rows of a side that is broadcast in a cross join.
-BROADCAST_ROWS = 100_000
-
-
-def _common(a: str, b: list[str]) -> np.ndarray:
-    """Lengths of the longest common subsequences of a and each of b; bit-parallel over words of 63 bits of a, and
-    over all of b at once."""
-    width = max((len(x) for x in b), default=0)
-    codes = np.zeros((len(b), width), np.uint32)
-    for i, x in enumerate(b):
-        codes[i, : len(x)] = np.frombuffer(x.encode("utf-32-le"), np.uint32)
-    blocks = [a[i : i + 63] for i in range(0, len(a), 63)]
-    letters, inverse = np.unique(codes, return_inverse=True)
-    inverse = inverse.reshape(codes.shape)
-    state = [np.full(len(b), (1 << len(x)) - 1, np.uint64) for x in blocks]
-    masks = []
-    for x in blocks:
-        of = {}
-        for i, c in enumerate(x):
-            of[ord(c)] = of.get(ord(c), 0) | 1 << i
-        masks.append(np.array([of.get(int(c), 0) if c else 0 for c in letters], np.uint64))
-    for j in range(width):
-        carry = np.zeros(len(b), np.uint64)
-        for k, x in enumerate(blocks):
-            full = np.uint64((1 << len(x)) - 1)
-            s = state[k]
-            u = s & masks[k][inverse[:, j]]
-            added = s + u + carry
-            carry = (added >> np.uint64(len(x))) & np.uint64(1)
-            state[k] = ((added & full) | (s & ~u)) & full
-    return sum((len(x) - np.bitwise_count(s).astype(np.int64) for x, s in zip(blocks, state, strict=True)), np.zeros(len(b), np.int64))
+from ..sources.storage import checkpointed
+
+#: The most bytes of queries that are broadcast.
+BROADCAST_BYTES = 32 << 20
+#: The most cells of a matrix of letters.
+CELLS = 1 << 22
+
+
+class Letters:
+    """Strings as a matrix of codes, a column each, zero after the end."""
+
+    def __init__(self, strings: list[str]):
+        self.lengths = np.array([len(x) for x in strings], np.int64)
+        flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.zeros((len(strings), int(self.lengths.max(initial=0))), np.uint32)
+        codes[np.arange(codes.shape[1])[None, :] < self.lengths[:, None]] = flat
+        self.letters, inverse = np.unique(codes, return_inverse=True)
+        self.inverse = np.ascontiguousarray(inverse.reshape(codes.shape).T)
+
+    def common(self, a: str, rows: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of a and each of the strings of these rows; bit-parallel over
+        words of 63 bits of a, and over all rows at once."""
+        blocks = [a[i : i + 63] for i in range(0, len(a), 63)]
+        state = [np.full(len(rows), (1 << len(x)) - 1, np.uint64) for x in blocks]
+        masks = []
+        for x in blocks:
+            of: dict[int, int] = {}
+            for i, c in enumerate(x):
+                of[ord(c)] = of.get(ord(c), 0) | 1 << i
+            masks.append(np.array([of.get(int(c), 0) if c else 0 for c in self.letters], np.uint64))
+        for j in range(int(self.lengths[rows].max(initial=0))):
+            carry, letter = np.zeros(len(rows), np.uint64), self.inverse[j][rows]
+            for k, x in enumerate(blocks):
+                full = np.uint64((1 << len(x)) - 1)
+                s = state[k]
+                u = s & masks[k][letter]
+                added = s + u + carry
+                carry = (added >> np.uint64(len(x))) & np.uint64(1)
+                state[k] = ((added & full) | (s & ~u)) & full
+        return sum((len(x) - np.bitwise_count(s).astype(np.int64) for x, s in zip(blocks, state, strict=True)), np.zeros(len(rows), np.int64))
+
+    def ratios(self, a: str, rows: np.ndarray) -> np.ndarray:
+        """Indel similarity, 0 to 100: 200 times the longest common subsequence over the summed lengths. Two empty
+        strings are alike."""
+        total = len(a) + self.lengths[rows]
+        return np.where(total > 0, 200.0 * self.common(a, rows) / np.maximum(1, total), 100.0)
+
+    def bounds(self, a: str) -> np.ndarray:
+        """What the lengths alone let a ratio reach, by the same formula, so no rounding puts it under the ratio."""
+        total = len(a) + self.lengths
+        return np.where(total > 0, 200.0 * np.minimum(len(a), self.lengths) / np.maximum(1, total), 100.0)
 
 
 def ratios(targets: list[str | None], candidates: list[str | None]) -> np.ndarray:
-    """Indel similarity, 0 to 100, of each pair: 200 times the longest common subsequence over the summed lengths.
-    Two empty strings are alike; a null gives NaN."""
+    """Indel similarity of each pair; a null gives NaN."""
     out = np.full(len(targets), np.nan)
     by: dict[str, list[int]] = {}
     for i, (t, c) in enumerate(zip(targets, candidates, strict=True)):
         if t is not None and c is not None:
             by.setdefault(t, []).append(i)
     for t, at in by.items():
-        some = [candidates[i] for i in at]
-        total = np.array([len(t) + len(c) for c in some])
-        out[at] = np.where(total > 0, 200.0 * _common(t, some) / np.maximum(1, total), 100.0)
+        some = Letters([candidates[i] for i in at])
+        out[at] = some.ratios(t, np.arange(len(at)))
     return out
 
 
@@ -83,26 +109,6 @@ def fuzzy_ratio_native(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * common / total)
 
 
-def cross(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All pairs; the right side is broadcast if it's short."""
-    few = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return left.crossJoin(F.broadcast(right) if few else right)
-
-
-def fuzzy_top(targets: DataFrame, candidates: DataFrame, threshold: float = 0.0, top_n: int = 1) -> DataFrame:
-    """(target, candidate, score, rank): the best candidates (candidate, ord) of each target, ties by ord.
-
-    The target is lower-cased, the candidate isn't. A pair whose lengths alone keep it under the threshold isn't scored.
-    """
-    pairs = cross(candidates.select("candidate", "ord"), targets.select("target").distinct())
-    a, b = F.length("target"), F.length("candidate")
-    if threshold > 0:
-        pairs = pairs.where(200 * F.least(a, b) >= threshold * (a + b))
-    scored = pairs.withColumn("score", fuzzy_ratio(F.lower("target"), F.col("candidate"))).where(F.col("score") >= threshold)
-    order = Window.partitionBy("target").orderBy(F.col("score").desc(), "ord")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("target", "candidate", "score", "rank")
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -111,75 +117,220 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine_top(queries: DataFrame, vectors: DataFrame, threshold: float = 0.0, top_n: int = 1) -> DataFrame:
-    """(query, candidate, score, rank) from (query, q_emb) and (candidate, emb, ord). Norms are taken once a vector;
-    a zero vector matches nothing."""
-    left = vectors.select("candidate", "ord", "emb", norm(F.col("emb")).alias("n")).where("n > 0")
-    right = queries.select("query", "q_emb", norm(F.col("q_emb")).alias("m")).where("m > 0")
-    scored = cross(left, right).select("query", "candidate", "ord", (dot(F.col("emb"), F.col("q_emb")) / (F.col("n") * F.col("m"))).alias("score"))
+def _best(found: pa.Table, top_n: int) -> pa.Table:
+    """The best rows of each ``i`` by score, ties by ord; in order of i and rank."""
+    found = found.sort_by([("i", "ascending"), ("score", "descending"), ("ord", "ascending")])
+    i = found["i"].to_numpy()
+    return found.filter(pa.array(np.arange(len(i)) - np.searchsorted(i, i) < top_n))
+
+
+#: A searcher takes queries (query, value) and returns a function of candidates (candidate, ord, value) and, for each
+#: query, the least score that is of use; that gives (i, candidate, ord, score) of the best ones, i being a query's number.
+Searcher = Callable[[pa.Table, float, int], Callable[[pa.Table, np.ndarray], pa.Table]]
+
+
+def _floors(best: pa.Table | None, queries: int, threshold: float, top_n: int) -> np.ndarray:
+    """The score of the last of each query's best, where it has that many already."""
+    floors = np.full(queries, threshold)
+    if best is not None:
+        i, score = best["i"].to_numpy(), best["score"].to_numpy()
+        last = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i) == top_n - 1)
+        floors[i[last]] = np.maximum(threshold, score[last])
+    return floors
+
+
+def _search(queries: DataFrame, candidates: DataFrame, searcher: Searcher, threshold: float, top_n: int, block: int, value_bytes: Column) -> DataFrame:
+    """(query, candidate, score, rank) for queries (query, value) and candidates (candidate, ord, value)."""
+    queries = checkpointed(queries)
+    kinds = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((queries, "query"), (candidates, "candidate"), (candidates, "ord")))
+    size, rows = queries.agg(F.sum(value_bytes + 64), F.count("*")).first()
+
+    def best_of(tables: Iterator[pa.Table], asked: pa.Table) -> pa.Table | None:
+        find, best = searcher(asked, threshold, top_n), None
+        for table in tables:
+            found = find(table, _floors(best, asked.num_rows, threshold, top_n))
+            best = _best(found if best is None else pa.concat_tables([best, found]), top_n)
+        return best
+
+    def named(best: pa.Table, asked: pa.Table) -> pa.Table:
+        return best.select(["candidate", "ord", "score"]).add_column(0, "query", asked["query"].take(best["i"]).combine_chunks())
+
+    if (size or 0) <= BROADCAST_BYTES:
+        sent = queries.sparkSession.sparkContext.broadcast(queries.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = sent.value
+            best = best_of((pa.Table.from_batches([b]) for b in batches), asked)
+            if best is not None:
+                yield from named(best, asked).to_batches()
+
+        found = candidates.select("candidate", "ord", "value").mapInArrow(run, f"{kinds}, score double")
+    else:
+        candidates = checkpointed(candidates.select("candidate", "ord", "value"))
+        nq, nv = (max(1, -(-n // block)) for n in (rows, candidates.count()))
+        spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = queries.withColumn("qb", spread("query", nq)).withColumn("vb", every(nv))
+        right = candidates.withColumn("vb", spread("ord", nv)).withColumn("qb", every(nq))
+
+        def pair(asked: pa.Table, rest: pa.Table) -> pa.Table:
+            empty = pa.table({"i": pa.array([], pa.int64()), "candidate": rest["candidate"].slice(0, 0), "ord": rest["ord"].slice(0, 0), "score": pa.array([], pa.float64())})
+            best = best_of(iter([rest]), asked) if asked.num_rows and rest.num_rows else None
+            return named(empty if best is None else best, asked)
+
+        found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(pair, f"{kinds}, score double")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "ord")
-    scored = scored.where((F.col("score") >= threshold) & ~F.isnan("score"))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("query", "candidate", "score", "rank")
-
-
-def _block_top(threshold: float, top_n: int, rows: int = 512):
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        x = column.combine_chunks()
-        m = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
-        return m / np.sqrt((m * m).sum(1, keepdims=True))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        at, cs, scores = [], [], []
-        if left.num_rows and right.num_rows:
-            right = right.sort_by("ord")  # a stable sort by score then breaks ties by ord
-            q, v = matrix(left["q_emb"]), matrix(right["emb"])
-            for lo in range(0, len(q), rows):
-                s = q[lo : lo + rows] @ v.T
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("query", "candidate", "score", "rank")
+
+
+def _matrix(column: pa.ChunkedArray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of these rows, all of one length, and which rows they are; zero vectors are left out."""
+    x = column.take(pa.array(at)).combine_chunks()
+    m = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+    n = np.sqrt((m * m).sum(1))
+    some = np.flatnonzero(n > 0)
+    return m[some] / n[some, None], at[some]
+
+
+def _cosine(asked: pa.Table, threshold: float, top_n: int, rows: int = 512):
+    sizes = pc.list_value_length(asked["value"]).to_numpy(zero_copy_only=False)
+    by = {int(d): _matrix(asked["value"], np.flatnonzero(sizes == d)) for d in np.unique(sizes[sizes > 0])}
+
+    def find(candidates: pa.Table, floors: np.ndarray) -> pa.Table:
+        at, js, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        dims = pc.list_value_length(candidates["value"]).to_numpy(zero_copy_only=False)
+        order = pc.sort_indices(candidates["ord"]).to_numpy().astype(np.int64)  # so of equal scores the first by ord stay
+        for d, (q, of_query) in by.items():
+            v, of_candidate = _matrix(candidates["value"], order[dims[order] == d])
+            for lo in range(0, len(q) if len(v) else 0, rows):
+                s = np.round(q[lo : lo + rows] @ v.T, 9)
                 n = min(top_n, s.shape[1])
-                least = np.maximum(np.partition(s, -n, 1)[:, -n], threshold)
+                least = np.maximum(np.partition(s, -n, 1)[:, -n], floors[of_query[lo : lo + rows]])
                 i, j = np.nonzero(s >= least[:, None])
-                order = np.lexsort((j, -s[i, j], i))
-                i, j = i[order], j[order]
-                starts = np.searchsorted(i, i)
-                keep = np.arange(len(i)) - starts < top_n
-                at.append(i[keep] + lo)
-                cs.append(j[keep])
+                best = np.lexsort((j, -s[i, j], i))
+                i, j = i[best], j[best]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < top_n
+                at.append(of_query[i[keep] + lo])
+                js.append(of_candidate[j[keep]])
                 scores.append(s[i[keep], j[keep]])
-        at, cs = (pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (at, cs))
-        best = right.take(cs)
-        return pa.table({"query": left["query"].take(at), "candidate": best["candidate"], "ord": best["ord"], "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
-
-    return run
-
-
-def cosine_top_all(queries: DataFrame, vectors: DataFrame, threshold: float = 0.0, top_n: int = 1, block: int = 8192) -> DataFrame:
-    """:func:`cosine_top` for as many queries as vectors: every pair is scored, a block of queries with a block of
-    vectors at a time, and only a block's best leave it."""
-    right = vectors.where(norm(F.col("emb")) > 0).select("candidate", "ord", "emb", F.size("emb").alias("dim"))
-    left = queries.where(norm(F.col("q_emb")) > 0).select("query", "q_emb", F.size("q_emb").alias("dim"))
-    nq, nv = (max(1, -(-x.count() // block)) for x in (left, right))
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = left.withColumn("qb", spread("query", nq)).withColumn("vb", every(nv))
-    right = right.withColumn("vb", spread("ord", nv)).withColumn("qb", every(nq))
-    kinds = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((queries, "query"), (vectors, "candidate"), (vectors, "ord")))
-    key = ["dim", "qb", "vb"]
-    best = left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(_block_top(threshold, top_n), f"{kinds}, score double")
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "ord")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("query", "candidate", "score", "rank")
+        rest = candidates.take(pa.array(np.concatenate(js)))
+        return pa.table({"i": pa.array(np.concatenate(at)), "candidate": rest["candidate"], "ord": rest["ord"], "score": pa.array(np.concatenate(scores))})
 
+    return find
 
-def match_scores(results: DataFrame, targets: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """(qid, target, score) for scored labels (qid, label, score, ord) and targets (qid, target, ord).
 
-    A label that is a target has its last score. Any other goes to the target most like it, on top of what that one
-    has. A mixed-case exact label counts in the first way only.
+def cosine_top(queries: DataFrame, vectors: DataFrame, threshold: float = 0.0, top_n: int = 1, block: int = 8192) -> DataFrame:
+    """(query, candidate, score, rank) from (query, q_emb) and (candidate, emb, ord): the ``top_n`` vectors of the highest
+    cosine, of at least ``threshold``. Cosines are rounded to 9 decimals, so equal ones tie, and ties go by ord.
+
+    Null and zero vectors match nothing, nor do vectors of different lengths.
+    """
+    left = queries.where("q_emb is not null").select("query", F.col("q_emb").alias("value"))
+    right = vectors.where("emb is not null").select("candidate", "ord", F.col("emb").alias("value"))
+    return _search(left, right, _cosine, threshold, top_n, block, F.size("value") * 8)
+
+
+def _fuzzy(asked: pa.Table, threshold: float, top_n: int, slab: int = 2048):
+    targets = [t.lower() for t in asked["value"].to_pylist()]
+
+    def find(candidates: pa.Table, floors: np.ndarray) -> pa.Table:
+        names = candidates["value"].to_pylist()
+        order = pc.sort_indices(candidates["ord"]).to_numpy().astype(np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by_length = sorted(range(len(names)), key=lambda k: len(names[k]))
+        floors, at, js, scores = floors.copy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        held: list[np.ndarray] = [np.zeros(0)] * len(targets)
+        lo = 0
+        while lo < len(names):  # strings of like lengths, in a matrix of a bounded size
+            hi = lo + 1
+            while hi < len(names) and (hi - lo + 1) * len(names[by_length[hi]]) <= CELLS:
+                hi += 1
+            here = np.array(by_length[lo:hi])
+            letters = Letters([names[k] for k in here.tolist()])
+            for i, t in enumerate(targets):
+                bound = letters.bounds(t)
+                ahead = np.argsort(-bound, kind="stable")
+                for p in range(0, len(ahead), slab):
+                    rows = ahead[p : p + slab]
+                    rows = rows[bound[rows] >= floors[i]]
+                    if not len(rows):
+                        break  # bounds only fall from here on
+                    s = letters.ratios(t, rows)
+                    keep = np.flatnonzero(s >= floors[i])
+                    if len(keep) > top_n:
+                        keep = keep[np.lexsort((place[here[rows[keep]]], -s[keep]))[:top_n]]
+                    at.append(np.full(len(keep), i))
+                    js.append(here[rows[keep]])
+                    scores.append(s[keep])
+                    held[i] = np.sort(np.concatenate([held[i], s[keep]]))[-top_n:]
+                    if len(held[i]) == top_n:
+                        floors[i] = max(floors[i], held[i][0])
+            lo = hi
+        rest = candidates.take(pa.array(np.concatenate(js)))
+        return pa.table({"i": pa.array(np.concatenate(at)), "candidate": rest["candidate"], "ord": rest["ord"], "score": pa.array(np.concatenate(scores))})
+
+    return find
+
+
+def fuzzy_top(targets: DataFrame, candidates: DataFrame, threshold: float = 0.0, top_n: int = 1, block: int = 8192) -> DataFrame:
+    """(target, candidate, score, rank): the best candidates (candidate, ord) of each target, ties by ord.
+
+    The target is lower-cased, the candidate isn't. A candidate whose length alone keeps it under the threshold, or under
+    the best so far, isn't compared.
     """
+    left = targets.select("target").where("target is not null").distinct().select(F.col("target").alias("query"), F.col("target").alias("value"))
+    right = candidates.where("candidate is not null").select("candidate", "ord", F.col("candidate").alias("value"))
+    return _search(left, right, _fuzzy, threshold, top_n, block, F.octet_length("value")).withColumnRenamed("query", "target")
+
+
+def _exact(results: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """(qid, label, score): the last score of each label that is a name."""
     lasts = results.groupBy("qid", "label").agg(F.max_by("score", "ord").alias("score"))
-    exact = lasts.join(targets.select("qid", F.col("target").alias("label")).distinct(), ["qid", "label"], "left_semi")
-    rest = results.join(exact.select("qid", "label"), ["qid", "label"], "left_anti")
-    pairs = rest.select("qid", "label", "score", F.col("ord").alias("r_ord")).join(targets, "qid")
+    return lasts.join(names.distinct(), keys, "left_semi")
+
+
+def _rest(results: DataFrame, exact: DataFrame, compat: bool) -> DataFrame:
+    hit = exact.select("qid", F.col("label").alias("__hit"))
+    by = F.lower("label") if compat else F.col("label")
+    return results.withColumn("__hit", by).join(hit, ["qid", "__hit"], "left_anti").select("qid", "label", "score", F.col("ord").alias("r_ord"))
+
+
+def match_entities(results: DataFrame, nodes: DataFrame, spent: DataFrame | None = None, threshold: float = 0.0, compat: bool = False) -> DataFrame:
+    """(qid, target, score) for scored labels (qid, label, score, ord) against all nodes (id) but a query's ``spent`` ones
+    (qid, node); the rules are those of :func:`match_scores`.
+
+    Labels that are nodes are found by an equi-join. The others, each once, are searched among all nodes for as many of
+    the most alike as the query with the most spent nodes may have to skip, so no query meets the table of nodes.
+    """
+    names, depth = nodes.select(F.col("id").alias("label")), 1
+    results = checkpointed(results.select("qid", "label", "score", "ord"))
+    exact = _exact(results, names, ["label"])
+    if spent is not None:
+        spent = checkpointed(spent.select("qid", "node"))
+        exact = exact.join(spent.withColumnRenamed("node", "label"), ["qid", "label"], "left_anti")
+        depth += spent.groupBy("qid").count().agg(F.max("count")).first()[0] or 0
+    exact = checkpointed(exact)
+    rest = checkpointed(_rest(results, exact, compat))
+    out = exact.select("qid", F.col("label").alias("target"), "score")
+    if not rest.isEmpty():
+        candidates = nodes.select(F.col("id").alias("candidate"), F.col("id").alias("ord"))
+        like = fuzzy_top(rest.select(F.col("label").alias("target")), candidates, threshold, depth)
+        near = rest.join(like.select(F.col("target").alias("label"), F.col("candidate").alias("node"), "rank"), "label")
+        if spent is not None:
+            near = near.join(spent, ["qid", "node"], "left_anti")
+        out = out.unionByName(near.groupBy("qid", "label", "r_ord", "score").agg(F.min_by("node", "rank").alias("target")).select("qid", "target", "score"))
+    return out.groupBy("qid", "target").agg(F.sum("score").alias("score"))
+
+
+def match_scores(results: DataFrame, targets: DataFrame, threshold: float = 0.0, compat: bool = False) -> DataFrame:
+    """(qid, target, score) for scored labels (qid, label, score, ord) and each query's own few targets (qid, target, ord).
+
+    A label that is a target has its last score. Any other goes to the target most like it, on top of what that one
+    has. A mixed-case exact label counts in the first way only; with ``compat`` it counts in both.
+    """
+    exact = _exact(results, targets.select("qid", F.col("target").alias("label")), ["qid", "label"])
+    pairs = _rest(results, exact, compat).join(targets, "qid")
     scored = pairs.withColumn("like", fuzzy_ratio(F.lower("label"), F.col("target"))).where(F.col("like") >= threshold)
-    order = Window.partitionBy("qid", "label", "r_ord").orderBy(F.col("like").desc(), "ord")
-    best = scored.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("qid", "target", "score")
-    return exact.select("qid", F.col("label").alias("target"), "score").unionByName(best).groupBy("qid", "target").agg(F.sum("score").alias("score"))
+    best = scored.groupBy("qid", "label", "r_ord", "score").agg(F.min_by("target", F.struct(-F.col("like"), "ord")).alias("target"))
+    return exact.select("qid", F.col("label").alias("target"), "score").unionByName(best.select("qid", "target", "score")).groupBy("qid", "target").agg(F.sum("score").alias("score"))
