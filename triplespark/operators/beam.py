@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 from .graph import KnowledgeGraph
 
 
-def unused_entities(kg: KnowledgeGraph, queries: DataFrame, used: DataFrame) -> DataFrame:
-    """(qid, node) of the nodes with an incident edge that a query hasn't used yet."""
-    total = kg.adjacency.groupBy("node").agg(F.count("*").alias("n"))
+def spent_entities(kg: KnowledgeGraph, used: DataFrame) -> DataFrame:
+    """(qid, node) of the nodes all of whose incident edges a query has used: a few, as only ends of used edges can be."""
     ends = F.explode(F.array_distinct(F.array("subject", "object"))).alias("node")
     spent = used.select("qid", "ord", ends).distinct().groupBy("qid", "node").agg(F.count("*").alias("used"))
-    spent = spent.join(total, "node").where("used >= n").select("qid", "node")
-    return queries.select("qid").crossJoin(kg.nodes.select(F.col("id").alias("node"))).join(spent, ["qid", "node"], "left_anti")
+    total = kg.adjacency.join(spent.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
+    return spent.join(total, "node").where("used >= n").select("qid", "node")
+
+
+def unused_entities(kg: KnowledgeGraph, candidates: DataFrame, used: DataFrame) -> DataFrame:
+    """candidates (qid, node) without those of which a query has used every incident edge.
+
+    "Unused" is asked of the nodes that a query is about: no table of all queries times all nodes is made.
+    """
+    return candidates.join(spent_entities(kg, used), ["qid", "node"], "left_anti")
 
 
 def _open_edges(kg: KnowledgeGraph, frontier: DataFrame, used: DataFrame) -> DataFrame:
@@ -51,10 +58,20 @@ def triple_scores(kg: KnowledgeGraph, entities: DataFrame) -> DataFrame:
 
 def triple_prune(scored: DataFrame, top_n: int = 3) -> DataFrame:
     """scored with rank: the best ``top_n`` triples of each query with a positive score, ties by ord; a query's only
-    triple scores 1."""
-    counted = scored.withColumn("__n", F.count("*").over(Window.partitionBy("qid"))).withColumn("score", F.when(F.col("__n") == 1, F.lit(1.0)).otherwise(F.col("score")))
+    triple scores 1.
+
+    Triples are counted by an aggregate, and the rank has a limit, which each task applies before the shuffle: no
+    query's triples gather in one task.
+    """
+    single = scored.groupBy("qid").agg(F.count("*").alias("__n")).where("__n = 1").select("qid", F.lit(1.0).alias("__one"))
+    counted = scored.join(single, "qid", "left").withColumn("score", F.coalesce("__one", "score")).drop("__one").select(*scored.columns)
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "ord")
-    return counted.drop("__n").withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top_n) & (F.col("score") > 0))
+    return counted.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+
+
+def commit(used: DataFrame, selected: DataFrame, round_number: int) -> DataFrame:
+    """used with the selected triples, which bear the number of this round."""
+    return used.unionByName(selected.select("qid", "ord", "subject", "label", "object", F.lit(round_number).alias("round")))
 
 
 def frontier_update(selected: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 ``edges`` has (ord, subject, label, object); ord is a total order of insertion. Direction lives in the columns only:
 adjacency, degrees and neighbourhoods look at both ends. Every method returns DataFrames and runs nothing by itself,
-but for :meth:`KnowledgeGraph.k_hop`, which cuts its lineage once a hop.
+but for :meth:`KnowledgeGraph.stored`, which writes the graph once for all that reads it more than once, and
+:meth:`KnowledgeGraph.k_hop`, which cuts its lineage once a hop.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,12 +50,21 @@ def node_table(edges: DataFrame) -> DataFrame:
 class KnowledgeGraph:
     nodes: DataFrame
     edges: DataFrame
+    typed: DataFrame | None = None
 
     @classmethod
     def of(cls, triples: DataFrame) -> KnowledgeGraph:
         """From (ord, subject, label, object, subject_type, object_type)."""
         edges = first_edges(triples)
-        return cls(node_table(edges), edges.select("ord", "subject", "label", "object"))
+        return cls(node_table(edges), edges.select("ord", "subject", "label", "object"), edges)
+
+    def stored(self) -> KnowledgeGraph:
+        """The same graph with its edges written to shared storage and read back: the triples are read and deduplicated
+        once, however often the graph is used; nodes follow from the written edges."""
+        if self.typed is None:
+            return replace(self, edges=checkpointed(self.edges))
+        typed = checkpointed(self.typed)
+        return KnowledgeGraph(node_table(typed), typed.select("ord", "subject", "label", "object"), typed)
 
     @property
     def entities(self) -> DataFrame:
@@ -102,10 +112,12 @@ class KnowledgeGraph:
     def k_hop(self, centers: DataFrame, hops: int = 3) -> DataFrame:
         """(center, node, depth) of the nodes within so many hops of each center.
 
-        A hop joins the frontier alone to the adjacency and drops what was seen; a center that is no node has no rows.
+        A hop joins the frontier alone to the steps between nodes, written once, and drops what was seen; a center that
+        is no node has no rows.
         """
-        step = self.adjacency.select("node", "neighbor").distinct()
-        front = centers.select(F.col("center"), F.col("center").alias("node")).distinct().join(self.degree().select("node"), "node", "left_semi").select("center", "node")
+        step = checkpointed(self.adjacency.select("node", "neighbor").distinct())
+        front = centers.select(F.col("center"), F.col("center").alias("node")).distinct().join(step.select("node"), "node", "left_semi").select("center", "node")
+        front = checkpointed(front)
         seen = front.withColumn("depth", F.lit(0))
         for depth in range(1, hops + 1):
             reached = front.join(step, "node").select("center", F.col("neighbor").alias("node")).distinct()

@@ -1,7 +1,8 @@
 """Community detection by Louvain's method with a cap on a community's size.
 
-Local moving is sequential, so whole ego graphs go to ``applyInPandas``, one group each; the relational halves
-(weights, aggregation, modularity, first gains) are DataFrames and serve graphs of any size.
+Local moving is sequential, so whole ego graphs, which are small, go to ``applyInPandas``, one group each. A graph of
+any size is partitioned by :func:`partition_graph`, in rounds of joins and aggregates of which each accepts moves that
+don't meet.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import checkpointed
+
 
 def weighted(edges: DataFrame) -> DataFrame:
     """(u, v, weight) with u <= v: parallel edges counted."""
@@ -142,3 +145,62 @@ def detect(edges: DataFrame, members: DataFrame | None = None, key: str = "cente
 
     kind = edges.schema[key].dataType.simpleString()
     return w.groupBy(key).applyInPandas(run, f"{key} {kind}, comm long, node string")
+
+
+def _sweep(links: DataFrame, state: DataFrame, m: float, cap: int | None) -> DataFrame:
+    """(node, to): the moves accepted in a round. Every node names the community that it would gain most by joining and
+    that has room; a move is accepted if it gains more than all others from or to either of its two communities. So no
+    two accepted moves share a community, their gains add up, and modularity rises."""
+    held = state.groupBy("comm").agg(F.sum("k").alias("held"), F.sum("size").alias("room"))
+    towards = links.join(state.select(F.col("node").alias("neighbor"), F.col("comm").alias("to")), "neighbor").groupBy("node", "to").agg(F.sum("weight").alias("w"))
+    at = towards.join(state.select("node", F.col("comm").alias("home"), "size", "k"), "node").join(held.withColumnRenamed("comm", "to"), "to")
+    own = F.col("to") == F.col("home")
+    gain = F.col("w") / m - F.col("k").cast("double") * (F.col("held") - F.when(own, F.col("k")).otherwise(0)) / (2 * m * m)
+    at = at.withColumn("gain", gain)
+    fits = F.lit(True) if cap is None else F.col("room") + F.col("size") <= cap
+    free = ~own & fits & (F.col("gain") > 0)
+    wish = at.groupBy("node", "home").agg(
+        F.max(F.when(own, F.col("gain"))).alias("stay"), F.min_by(F.struct("to", "gain"), F.when(free, F.struct((-F.col("gain")).alias("g"), "to"))).alias("best"), F.max("k").alias("k")
+    )
+    wish = wish.where("best is not null").join(held.select(F.col("comm").alias("home"), F.col("held").alias("home_held")), "home")
+    stay = F.coalesce("stay", -F.col("k").cast("double") * (F.col("home_held") - F.col("k")) / (2 * m * m))
+    moves = checkpointed(wish.where(F.coalesce(F.col("best.gain") > F.col("stay"), F.lit(True))).select("node", "home", F.col("best.to").alias("to"), (F.col("best.gain") - stay).alias("rise")))
+    order = F.struct((-F.col("rise")).alias("r"), "node")
+    first = moves.select(F.explode(F.array("home", "to")).alias("comm"), "node", "rise").groupBy("comm").agg(F.min_by("node", order).alias("first"))
+    best = moves.join(first.select(F.col("comm").alias("home"), F.col("first").alias("a")), "home").join(first.select(F.col("comm").alias("to"), F.col("first").alias("b")), "to")
+    return checkpointed(best.where("a = node and b = node").select("node", "to"))
+
+
+def partition_graph(edges: DataFrame, cap: int | None = 5, sweeps: int = 100) -> DataFrame:
+    """(node, comm): the partition of a graph of any size, comm being the least node of each community.
+
+    The levels are those of :func:`partition`: moves from single nodes on until no move gains (or ``sweeps`` rounds have
+    been made, of which each leaves a partition), then communities become nodes; levels go on while modularity strictly
+    rises, and the last partition before that stops is the result. Every state is a written table, nothing is collected
+    but totals, and minima and sums are partial on the map side, so a hub is no single task.
+    """
+    first = checkpointed(weighted(edges))
+    m = first.agg(F.sum("weight").cast("double")).first()[0]
+    ends = first.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    members = checkpointed(ends.select("node", F.col("node").alias("comm")))
+    if not m:
+        return members
+    w, sizes, quality = first, members.select("node", F.lit(1).cast("long").alias("size")), modularity(first, members).first()[0]
+    while True:
+        both = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("neighbor")), F.struct(F.col("v").alias("node"), F.col("u").alias("neighbor"))))
+        links = checkpointed(w.where("u <> v").select(both.alias("x"), "weight").select("x.*", "weight"))
+        state = checkpointed(sizes.join(_degrees(w), "node").withColumn("comm", F.col("node")))
+        for _ in range(sweeps):
+            accepted = _sweep(links, state, m, cap)
+            if accepted.isEmpty():
+                break
+            state = checkpointed(state.join(accepted, "node", "left").withColumn("comm", F.coalesce("to", "comm")).drop("to"))
+        to = state.select(F.col("node").alias("comm"), F.col("comm").alias("to"))
+        after = checkpointed(members.join(to, "comm").select("node", F.col("to").alias("comm")))
+        risen = modularity(first, after).first()[0]
+        if risen <= quality:
+            least = members.groupBy("comm").agg(F.min("node").alias("least"))
+            return members.join(least, "comm").select("node", F.col("least").alias("comm"))
+        members, quality = after, risen
+        w = checkpointed(aggregate(w, state.select("node", "comm")))
+        sizes = checkpointed(state.groupBy(F.col("comm").alias("node")).agg(F.sum("size").alias("size")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,53 +35,47 @@ def _outgoing(edges: list[Edge]) -> dict[str, list[tuple[str, str, dict]]]:
 def trees(edges: list[Edge], attributes: list[str] | None = None) -> str:
     """Indented trees from the busiest subjects down. A node seen before is named but not opened again."""
     out, done, blocks = _outgoing(edges), set(), []
-
-    def walk(node: str, prefix: str, title: str, seen: set[str]) -> tuple[list[str], set[str]]:
-        lines = [prefix + node + title]
-        if node in seen:
-            return lines, seen
-        seen = seen | {node}
-        below = out.get(node, [])
-        for other, label, attrs in below:
-            corner = "└── " if other == below[-1][0] else "├── "
-            stem = prefix[:-4] + ("" if not prefix else "    " if prefix.endswith("└── ") else "|   ")
-            shown = "" if attributes is None else f" <{', '.join(f'{a}={attrs[a]}' for a in attributes if a in attrs)}>"
-            more, found = walk(other, stem + corner, f" ─── ({label}{shown})", set(seen))
-            lines += more
-            seen |= found
-        return lines, seen
-
     for root in _roots(edges):
-        if root not in done:
-            lines, seen = walk(root, "", "", set())
-            done |= seen
-            blocks.append("\n".join(lines))
+        if root in done:
+            continue
+        lines, seen, ahead = [], set(), [(root, "", "")]
+        while ahead:
+            node, prefix, title = ahead.pop()
+            lines.append(prefix + node + title)
+            if node in seen:
+                continue
+            seen.add(node)
+            below = out.get(node, [])
+            stem = prefix[:-4] + ("" if not prefix else "    " if prefix.endswith("└── ") else "|   ")
+            for other, label, attrs in reversed(below):
+                corner = "└── " if other == below[-1][0] else "├── "
+                shown = "" if attributes is None else f" <{', '.join(f'{a}={attrs[a]}' for a in attributes if a in attrs)}>"
+                ahead.append((other, stem + corner, f" ─── ({label}{shown})"))
+        done |= seen
+        blocks.append("\n".join(lines))
     return "\n\n".join(blocks).strip()
 
 
 def paths(edges: list[Edge], by: str = "label") -> str:
     """A line for each path from a root to where it ends or meets a node seen before."""
     out, done, lines = _outgoing(edges), set(), []
-
-    def walk(node: str, so_far: list[str], seen: set[str]) -> tuple[list[list[str]], set[str]]:
-        if node in seen:
-            return [so_far], seen
-        seen = seen | {node}
-        below = sorted(out.get(node, []), key=lambda e: e[1] if by == "label" else e[2][by])
-        if not below:
-            return [so_far], seen
-        found = []
-        for other, label, _ in below:
-            more, also = walk(other, [*so_far, f"{node}, {label}, {other}"], set(seen))
-            found += more
-            seen |= also
-        return found, seen
-
     for root in _roots(edges):
-        if root not in done:
-            found, seen = walk(root, [], set())
-            done |= seen
-            lines += [" -> ".join(p) for p in found]
+        if root in done:
+            continue
+        seen: set[str] = set()
+        ahead: list[tuple[str, tuple | None]] = [(root, None)]  # a path is its last step and the path before
+        while ahead:
+            node, path = ahead.pop()
+            below = [] if node in seen else sorted(out.get(node, []), key=lambda e: e[1] if by == "label" else e[2][by])
+            seen.add(node)
+            ahead += [(other, (f"{node}, {label}, {other}", path)) for other, label, _ in reversed(below)]
+            if not below:
+                steps = []
+                while path is not None:
+                    step, path = path
+                    steps.append(step)
+                lines.append(" -> ".join(reversed(steps)))
+        done |= seen
     return "\n".join(lines).strip()
 
 
@@ -91,12 +86,16 @@ def triple_lines(edges: DataFrame, key: str = "qid", by: str = "label") -> DataF
     return last.groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("x")).select(key, F.array_join(F.transform("x", lambda t: t["line"]), "\n").alias("text"))
 
 
-def render(edges: DataFrame, style: str = "trees", key: str = "qid", by: str = "label", attributes: list[str] | None = None) -> DataFrame:
-    """(key, text) of each key's edges in one of the styles trees, paths and triples."""
+def render(edges: DataFrame, style: str = "trees", key: str = "qid", by: str = "label", attributes: list[str] | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(key, text) of each key's edges in one of the styles trees, paths and triples. With ``nodes`` (key, id), a graph of
+    one node is its name, edges or none."""
+    if style not in ("trees", "paths", "triples"):
+        raise ValueError(f"no such style: {style}")
+    if nodes is not None:
+        single = nodes.groupBy(key).agg(F.min("id").alias("text"), F.max("id").alias("__last")).where("text = __last").select(key, "text")
+        return render(edges.join(single, key, "left_anti"), style, key, by, attributes).unionByName(single)
     if style == "triples":
         return triple_lines(edges, key, by)
-    if style not in ("trees", "paths"):
-        raise ValueError(f"no such style: {style}")
     rest = [c for c in edges.columns if c not in (key, "ord", "subject", "label", "object")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -124,11 +123,11 @@ def gradient(steps: int) -> list[str]:
 
 
 def chain_colors(chains: DataFrame, edges: DataFrame, membership: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, index) and (ord, index) for chains (chain, pos, comm): community i has 2i, what leads to it 2i - 1.
+    """(node, color_index) and (ord, color_index) for chains (chain, pos, comm): community i has 2i, what leads to it 2i - 1.
 
-    The least index over all chains counts; a node has the odd index of a bridge only without one of its own.
+    The least index over all chains counts. A node has the index of its community if it has an edge within, else the
+    least odd one of the bridges it's an end of.
     """
-    own = chains.join(membership, "comm").groupBy("node").agg(F.min(2 * F.col("pos")).alias("own"))
     here = chains.select("chain", "pos", "comm")
     last = here.select("chain", (F.col("pos") + 1).alias("pos"), F.col("comm").alias("last"))
     steps = here.join(last, ["chain", "pos"]).select("pos", F.least("comm", "last").alias("a"), F.greatest("comm", "last").alias("b"))
@@ -136,13 +135,37 @@ def chain_colors(chains: DataFrame, edges: DataFrame, membership: DataFrame) ->
     b = membership.select(F.col("comm").alias("co"), F.col("node").alias("object"))
     placed = edges.join(a, "subject").join(b, "object").withColumns({"a": F.least("cs", "co"), "b": F.greatest("cs", "co")})
     bridge = placed.where("cs <> co").join(steps, ["a", "b"]).select("ord", "subject", "object", (2 * F.col("pos") - 1).alias("i"))
-    inner = placed.where("cs = co").join(here.select(F.col("comm").alias("cs"), "pos"), "cs").select("ord", (2 * F.col("pos")).alias("i"))
-    edge_index = inner.unionByName(bridge.select("ord", "i")).groupBy("ord").agg(F.min("i").alias("color_index"))
-    ends = bridge.select(F.explode(F.array("subject", "object")).alias("node"), "i").groupBy("node").agg(F.min("i").alias("i"))
-    node_index = own.join(ends, "node", "full").select("node", F.coalesce("own", "i").alias("color_index"))
+    inner = placed.where("cs = co").join(here.select(F.col("comm").alias("cs"), "pos"), "cs").select("ord", "subject", "object", (2 * F.col("pos")).alias("i"))
+    edge_index = inner.unionByName(bridge).groupBy("ord").agg(F.min("i").alias("color_index"))
+    ends = lambda df, name: df.select(F.explode(F.array("subject", "object")).alias("node"), "i").groupBy("node").agg(F.min("i").alias(name))
+    node_index = ends(inner, "own").join(ends(bridge, "odd"), "node", "full").select("node", F.coalesce("own", "odd").alias("color_index"))
     return node_index, edge_index
 
 
+def _colored(kg, node_index: DataFrame, edge_index: DataFrame, colors: list[str]) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, color) and edges with color of a graph; what has no index has no colour."""
+    color = F.try_element_at(F.array(*[F.lit(c) for c in colors]), (F.col("color_index") + 1).cast("int")).alias("color")
+    nodes = kg.nodes.select("id").join(node_index.withColumnRenamed("node", "id"), "id", "left").select("id", color)
+    edges = kg.edges.join(edge_index, "ord", "left").select("ord", "subject", "label", "object", color)
+    return nodes, edges
+
+
+def colored_chains(kg, chains: DataFrame, membership: DataFrame, colors: list[str]) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of a graph in the colours of :func:`chain_colors`; edges parallel to a coloured one share its
+    colour when drawn."""
+    return _colored(kg, *chain_colors(chains, kg.edges, membership), colors)
+
+
+def colored_rounds(kg, used: DataFrame, colors: list[str]) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of a graph in the colours of the first round that used an edge between the same two ends (used:
+    subject, object, round)."""
+    lo, hi = F.least("subject", "object"), F.greatest("subject", "object")
+    pair = used.groupBy(lo.alias("lo"), hi.alias("hi")).agg((F.min("round") - 1).alias("color_index"))
+    node_index = pair.select(F.explode(F.array("lo", "hi")).alias("node"), "color_index").groupBy("node").agg(F.min("color_index").alias("color_index"))
+    edge_index = kg.edges.select("ord", lo.alias("lo"), hi.alias("hi")).join(pair, ["lo", "hi"]).select("ord", "color_index")
+    return _colored(kg, node_index, edge_index, colors)
+
+
 _PAGE = """<!doctype html><meta charset="utf-8"><title>graph</title><canvas id="c" width="1200" height="800"></canvas><script>
 const N=%s,E=%s,c=document.getElementById("c").getContext("2d"),at={};
 N.forEach((n,i)=>{const a=2*Math.PI*i/N.length;at[n.id]=[600+340*Math.cos(a),400+340*Math.sin(a)]});
@@ -151,19 +174,24 @@ N.forEach(n=>{const p=at[n.id];c.fillStyle=n.color;c.beginPath();c.arc(...p,n.si
 </script>"""
 
 
-def save_html(nodes: DataFrame, edges: DataFrame, path: str, most: int = 5000) -> None:
+def save_html(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Writes a page that draws the graph: nodes (id, color), edges (ord, subject, label, object[, color]).
 
-    A page is for one person to look at; a graph of more than ``most`` edges is refused.
+    Rows are fetched a partition at a time and written as they come, so the driver never holds the graph.
     """
     from .graph import last_edge_colors
 
     shown = edges if "color" in edges.columns else edges.withColumn("color", F.lit(None).cast("string"))
-    drawn = shown.drop("color").join(last_edge_colors(shown), "ord").orderBy("ord").limit(most + 1).collect()
-    if len(drawn) > most:
-        raise ValueError(f"more than {most} edges to draw")
-    ends = {r["subject"] for r in drawn} | {r["object"] for r in drawn}
-    points = [{"id": r["id"], "color": r["color"] or "lightgray", "size": 20} for r in nodes.where(F.col("id").isin(*ends)).collect()] if ends else []
-    lines = [{"s": r["subject"], "p": r["label"], "o": r["object"], "color": r["color"]} for r in drawn]
+    drawn = shown.drop("color").join(last_edge_colors(shown), "ord").orderBy("ord")
+    ends = drawn.select(F.explode(F.array("subject", "object")).alias("id")).distinct()
+    head, middle, tail = _PAGE.split("%s")
+    points = ({"id": r["id"], "color": r["color"] or "lightgray", "size": 20} for r in nodes.join(ends, "id", "left_semi").toLocalIterator())
+    lines = ({"s": r["subject"], "p": r["label"], "o": r["object"], "color": r["color"]} for r in drawn.toLocalIterator())
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
-        f.write(_PAGE % tuple(json.dumps(x, ensure_ascii=False).replace("<", "\\u003c") for x in (points, lines)))
+        for before, rows in ((head, points), (middle, lines)):
+            f.write(before + "[")
+            for i, x in enumerate(rows):
+                f.write(("," if i else "") + json.dumps(x, ensure_ascii=False).replace("<", "\\u003c"))
+            f.write("]")
+        f.write(tail)

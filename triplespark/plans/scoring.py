@@ -26,12 +26,13 @@ class UniformScorer(Scorer):
     """Shares 1 evenly among the items of a group."""
 
     def score(self, items: DataFrame, keys: list[str]) -> DataFrame:
-        return items.withColumn("score", 1.0 / F.count("*").over(Window.partitionBy(*keys)))
+        sizes = items.groupBy(*keys).agg((1.0 / F.count("*")).alias("score"))
+        return items.join(sizes, keys).select(*items.columns, "score")
 
 
 @dataclass
 class EmbeddingScorer(Scorer):
-    """Cosine with the query; the best ``top_n`` of 0 or more stay."""
+    """Cosine with the query, rounded to 9 decimals; the best ``top_n`` of 0 or more stay, ties by ord."""
 
     embedder: Embedder
     top_n: int = 3
@@ -39,7 +40,7 @@ class EmbeddingScorer(Scorer):
     def score(self, items: DataFrame, keys: list[str]) -> DataFrame:
         q = embed(items, self.embedder, "query").select(F.col("text").alias("query"), F.col("emb").alias("q_emb"))
         e = embed(items, self.embedder, "item").select(F.col("text").alias("item"), "emb")
-        scored = items.join(q, "query").join(e, "item").withColumn("score", dot(F.col("emb"), F.col("q_emb")) / (norm(F.col("emb")) * norm(F.col("q_emb"))))
+        scored = items.join(q, "query").join(e, "item").withColumn("score", F.round(dot(F.col("emb"), F.col("q_emb")) / (norm(F.col("emb")) * norm(F.col("q_emb"))), 9))
         order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "ord")
         kept = scored.where("score >= 0 and not isnan(score)").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.top_n)
         return kept.select(*items.columns, "score")
@@ -67,8 +68,11 @@ class ModelScorer(Scorer):
 def prune(items: DataFrame, keys: list[str], scorer: Scorer) -> DataFrame:
     """items with ``score``: a single candidate scores 1 and isn't sent to the scorer.
 
-    Both the items and the scores are checkpointed, as they are read more than once: no model is asked twice.
+    Groups are counted by an aggregate and joined back. Both the items and the scores are checkpointed, as they are read
+    more than once: no model is asked twice.
     """
-    counted = checkpointed(items.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))))
+    items = checkpointed(items)
+    sizes = items.groupBy(*keys).agg(F.count("*").alias("__n"))
+    counted = checkpointed(items.join(sizes, keys).select(*items.columns, "__n"))
     single = counted.where("__n = 1").drop("__n").withColumn("score", F.lit(1.0))
     return checkpointed(single.unionByName(scorer.score(counted.where("__n > 1").drop("__n"), keys)))

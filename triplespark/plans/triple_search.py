@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SCORED, SCORED_TRIPLE, follow_up, recognise, says_yes_first, scored_items
-from ..functions.similarity import match_scores
+from ..functions.similarity import match_entities
 from ..models import EntityModel, LanguageModel, ask
-from ..operators.beam import entity_search, frontier_update, relation_search, triple_prune, triple_scores, unused_entities
+from ..operators.beam import commit, entity_search, frontier_update, relation_search, spent_entities, triple_prune, triple_scores
 from ..operators.graph import KnowledgeGraph
-from ..operators.render import render
+from ..operators.render import colored_rounds, gradient, render, save_html
 from ..sources.storage import checkpointed
+from .qa import Answerer
 from .scoring import ModelScorer, Scorer, UniformScorer, prune
 
 _USED = "qid long, ord long, subject string, label string, object string, round int"
 
 
 @dataclass
-class TripleSearch:
+class TripleSearch(Answerer):
     """Settings: ``topics`` is model or entities; ``paths`` is score, scorer, model or model_with_history."""
 
     kg: KnowledgeGraph
@@ -36,29 +38,41 @@ class TripleSearch:
     with_notes: bool = False
     rounds: int = 10
     empty_rounds: int = 3
+    graph_folder: str | None = None
 
     def __post_init__(self) -> None:
         if self.topics not in ("model", "entities") or self.paths not in ("score", "scorer", "model", "model_with_history") or self.style not in ("triples", "paths", "trees"):
             raise ValueError("no such setting")
 
     def settings(self) -> dict[str, str]:
-        return {k: str(getattr(self, k)) for k in ("top_n", "topics", "paths", "new_query", "style", "with_notes", "rounds")}
+        return {k: str(getattr(self, k)) for k in ("top_n", "topics", "paths", "new_query", "style", "with_notes", "rounds", "empty_rounds")} | {"model": type(self.model).__name__, "scorer": type(self.scorer).__name__, "entities": type(self.entities).__name__}
 
     def topic_entities(self, queries: DataFrame, used: DataFrame) -> DataFrame:
         """The first frontier: entities that a query names, of those with an edge left."""
         if self.topics == "entities":
-            found = recognise(queries, self.entities, key="qid", text="query").withColumn("n", F.count("*").over(Window.partitionBy("qid")))
+            found = checkpointed(recognise(queries, self.entities, key="qid", text="query"))
+            found = found.join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid")
             results = found.select("qid", F.col("entity").alias("label"), (1.0 / F.col("n")).alias("score"), F.xxhash64("entity").alias("ord"))
         else:
             asked = ask(queries.select("qid", F.concat(F.lit("Name the entities of the question as {entity (Score: x)}.\nQ: "), F.col("query")).alias("prompt")), self.model)
             found = asked.select("qid", F.posexplode(scored_items(F.col("response"), SCORED)).alias("ord", "r"))
             results = found.select("qid", F.col("r.item").alias("label"), F.col("r.score").alias("score"), "ord").where("score is not null")
-        targets = checkpointed(unused_entities(self.kg, queries, used).select("qid", F.col("node").alias("target"), F.col("node").alias("ord")))
-        return match_scores(checkpointed(results), targets).select("qid", F.col("target").alias("topic"), F.col("score").alias("topic_score"))
+        return match_entities(results, self.kg.nodes, spent_entities(self.kg, used)).select("qid", F.col("target").alias("topic"), F.col("score").alias("topic_score"))
 
     def retrieved_text(self, used: DataFrame) -> DataFrame:
         return render(used, self.style, "qid", "label" if self.style == "trees" else "round", ["round"] if self.style == "trees" else None)
 
+    def save_used_graph(self, used: DataFrame, path: str) -> None:
+        """The edges that all queries have used so far as a page, with the graph's own colours."""
+        save_html(self.kg.nodes, used.select("ord", "subject", "label", "object").distinct(), path)
+
+    def save_reasoning_graph(self, used: DataFrame, path: str) -> None:
+        """The whole graph as a page in which what was used has the colour of its first round, from blue to red; nothing
+        is written if nothing was used."""
+        rounds = used.agg(F.max("round")).first()[0]
+        if rounds is not None:
+            save_html(*colored_rounds(self.kg, used, gradient(rounds)), path)
+
     def _select(self, queries: DataFrame, scored: DataFrame, used: DataFrame) -> DataFrame:
         if self.paths == "score":
             return triple_prune(scored, self.top_n)
@@ -95,7 +109,9 @@ class TripleSearch:
                     break
                 continue
             done, empty = done + 1, 0
-            used = checkpointed(used.unionByName(chosen.select("qid", "ord", "subject", "label", "object", F.lit(done).alias("round"))))
+            used = checkpointed(commit(used, chosen, done))
+            if self.graph_folder:
+                self.save_used_graph(used, f"{self.graph_folder}/used_graph_{done}.html")
             text = self.retrieved_text(used)
             prompt = F.concat(F.lit("Is this enough to answer? Say {Yes} or {No} and why.\nQ: "), F.col("query"), F.lit("\n"), F.coalesce("text", F.lit("")))
             text = checkpointed(text)
@@ -126,11 +142,19 @@ class TripleSearch:
         return used, checkpointed(reduce(DataFrame.unionByName, records))
 
     def answer(self, spark: SparkSession, queries: DataFrame) -> DataFrame:
-        """(qid, query, method, settings, rounds, early_stop, prediction)."""
+        """(qid, query, method, settings, rounds, early_stop, duration, prediction).
+
+        Queries are answered together, so ``duration``, in seconds, is that of the batch. With ``graph_folder`` the used
+        edges are drawn after each round, and the whole graph at the end.
+        """
+        began = time.monotonic()
         used, records = self.retrieve(spark, queries)
+        if self.graph_folder:
+            self.save_reasoning_graph(used, f"{self.graph_folder}/final.html")
         joined = records.join(self.retrieved_text(used), "qid", "left")
         notes = F.when(F.lit(self.with_notes) & ~F.col("early_stop"), F.concat(F.lit("\nNotes: "), F.col("notes"))).otherwise(F.lit(""))
         prompt = F.concat(F.lit("Answer from what is known.\nKnown:\n"), F.coalesce("text", F.lit("")), F.coalesce(notes, F.lit("")), F.lit("\nQ: "), F.col("query"), F.lit("\nA: "))
-        told = ask(joined.withColumn("prompt", prompt), self.model)
+        told = checkpointed(ask(joined.withColumn("prompt", prompt), self.model).select("qid", "query", "rounds", "early_stop", "response"))
         pairs = [F.lit(x) for kv in self.settings().items() for x in kv]
-        return told.select("qid", "query", F.lit("triple_search").alias("method"), F.create_map(*pairs).alias("settings"), "rounds", "early_stop", F.col("response").alias("prediction"))
+        took = F.lit(time.monotonic() - began).alias("duration")
+        return told.select("qid", "query", F.lit("triple_search").alias("method"), F.create_map(*pairs).alias("settings"), "rounds", "early_stop", took, F.col("response").alias("prediction"))
