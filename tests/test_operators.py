@@ -92,6 +92,69 @@ def test_trees_paths_and_triples(spark):
         render.render(df, "poem")
 
 
+def test_long_chains_and_single_nodes(spark):
+    chain = [(f"n{i:05d}", "r", f"n{i + 1:05d}", {}) for i in range(5000)]
+    assert render.trees(chain).count("\n") == 5000 and render.paths(chain).count(" -> ") == 4999
+    edges = spark.createDataFrame([(0, 0, "a", "r", "b"), (1, 1, "c", "r", "c")], "qid long, ord long, subject string, label string, object string")
+    nodes = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (2, "z")], "qid long, id string")
+    assert got(render.render(edges, "trees", nodes=nodes)) == [(0, "a\n└── b ─── (r)"), (1, "c"), (2, "z")]
+
+
+def recursive(edges, style):
+    """Trees and paths as they are defined, a call for each node, with copies of what was seen."""
+    out, done, blocks = render._outgoing(edges), set(), []
+
+    def tree(node, prefix, title, seen):
+        lines = [prefix + node + title]
+        if node in seen:
+            return lines, seen
+        seen = seen | {node}
+        for other, label, _ in out.get(node, []):
+            corner = "└── " if other == out[node][-1][0] else "├── "
+            stem = prefix[:-4] + ("" if not prefix else "    " if prefix.endswith("└── ") else "|   ")
+            more, found = tree(other, stem + corner, f" ─── ({label})", set(seen))
+            lines, seen = lines + more, seen | found
+        return lines, seen
+
+    def path(node, so_far, seen):
+        if node in seen or not out.get(node):
+            return [so_far], seen | {node}
+        seen, found = seen | {node}, []
+        for other, label, _ in sorted(out[node], key=lambda e: e[1]):
+            more, also = path(other, [*so_far, f"{node}, {label}, {other}"], set(seen))
+            found, seen = found + more, seen | also
+        return found, seen
+
+    for root in render._roots(edges):
+        if root not in done:
+            found, seen = tree(root, "", "", set()) if style == "trees" else path(root, [], set())
+            done |= seen
+            blocks += ["\n".join(found)] if style == "trees" else [" -> ".join(p) for p in found]
+    return ("\n\n" if style == "trees" else "\n").join(blocks).strip()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abcdef"), st.sampled_from("rst"), st.sampled_from("abcdef")), min_size=1, max_size=12, unique=True))
+def test_renderings_equal_their_definition(triples):
+    edges = [(s_, p, o, {}) for s_, p, o in triples]
+    assert render.trees(edges) == recursive(edges, "trees") and render.paths(edges) == recursive(edges, "paths")
+
+
+def test_reasoning_graphs_in_colour(spark, tmp_path):
+    kg = kg_of(spark, [("a", "r", "b"), ("a", "s", "b"), ("b", "r", "c"), ("c", "r", "d"), ("d", "r", "e")])
+    used = kg.edges.where("ord in (0, 2)").selectExpr("0L as qid", "ord", "subject", "label", "object", "cast(ord / 2 + 1 as int) as round")
+    nodes, edges = render.colored_rounds(kg, used, ["c1", "c2"])
+    assert dict(got(nodes)) == {"a": "c1", "b": "c1", "c": "c2", "d": None, "e": None}
+    assert dict(got(edges, "ord", "color")) == {0: "c1", 1: "c1", 2: "c2", 3: None, 4: None}
+    chains = spark.createDataFrame([("x", 0, 10), ("x", 1, 11), ("x", 2, 12)], "chain string, pos int, comm long")
+    member = spark.createDataFrame([(10, "a"), (10, "b"), (11, "c"), (12, "d"), (12, "e")], "comm long, node string")
+    nodes, edges = render.colored_chains(kg, chains, member, [f"c{i}" for i in range(5)])
+    assert dict(got(nodes)) == {"a": "c0", "b": "c0", "c": "c1", "d": "c4", "e": "c4"}  # c has no edge within: a bridge's
+    assert dict(got(edges, "ord", "color")) == {0: "c0", 1: "c0", 2: "c1", 3: "c3", 4: "c4"}
+    render.save_html(nodes, edges, str(tmp_path / "deep" / "g.html"))
+    assert (tmp_path / "deep" / "g.html").read_text().count("c4") == 3
+
+
 def test_html_page(spark, tmp_path):
     kg = kg_of(spark, [("a", "r", "</script>"), ("a", "s", "b", "person")])
     render.save_html(kg.nodes, kg.edges, str(tmp_path / "g.html"))
@@ -109,6 +172,9 @@ def test_communities(spark):
     assert dict(got(community.centers(kg.edges, m))) == {0: "b", 1: "d", 2: "f"}
     assert got(community.neighbor_communities(kg.edges, m), "comm", "neighbor") == [(0, 1), (1, 0), (1, 2), (2, 1)]
     assert got(community.edges_between(kg.edges, m), "a", "b", "subject") == [(0, 1, "c"), (1, 2, "e")]
+    twice = m.withColumn("scope", m["comm"] * 0).unionByName(m.selectExpr("comm + 10 as comm", "node", "cast(1 as long) as scope").where("node <> 'd'"))
+    assert got(community.neighbor_communities(kg.edges, twice, "scope"), "comm", "neighbor") == [(0, 1), (1, 0), (1, 2), (11, 12), (12, 11), (2, 1)]
+    assert got(community.inner_edges(kg.edges, twice, "scope"), "comm", "subject", "object") == [(0, "a", "b"), (0, "b", "c"), (1, "d", "e"), (10, "a", "b"), (10, "b", "c")]
     with pytest.raises(Exception, match="edges"):
         community.scores(kg.edges.limit(0), m).collect()
 
@@ -135,6 +201,34 @@ def test_two_triangles():
     assert louvain.partition(list("abcxyz"), weight) == [["a", "b", "c"], ["x", "y", "z"]]
 
 
+def test_chains_as_text(spark):
+    kg = kg_of(spark, [("a", "r", "b"), ("b", "r", "c"), ("c", "r", "d"), ("x", "r", "y")])
+    m = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (2, "d"), (3, "x"), (3, "y")], "comm long, node string")
+    body = render.triple_lines(community.inner_edges(kg.edges, m), "comm").withColumnRenamed("text", "body")
+    chains = spark.createDataFrame([(0, 0, 0, 0), (0, 0, 1, 1), (0, 0, 2, 2), (0, 0, 3, 3), (0, 1, 0, 2)], "qid long, chain int, pos int, comm long")
+    assert got(community.chain_text(chains, kg.edges, m, body)) == [(0, 0, "a, r, b\n\nb, r, c\n\nc, r, d\n\nx, r, y"), (0, 1, "")]
+    row = spark.createDataFrame([("b", ["a", "b"], None)], "c string, n array<string>, p string")
+    assert row.select(community.community_text(row["c"], row["n"], row["p"])).first()[0] == "Community(b\nnodes=['a', 'b']\n\n)"
+
+
+def test_partition_of_a_whole_graph(spark):
+    rng = random.Random(7)
+    cliques = [(f"n{k}_{i}", "r", f"n{k}_{j}") for k in range(6) for i in range(5) for j in range(i)] + [(f"n{k}_0", "s", f"n{(k + 1) % 6}_0") for k in range(6)]
+    kg = kg_of(spark, cliques)
+    parts = {}
+    for r in louvain.partition_graph(kg.edges, cap=5).collect():
+        parts.setdefault(r["comm"], set()).add(r["node"])
+    assert sorted(map(sorted, parts.values())) == [[f"n{k}_{i}" for i in range(5)] for k in range(6)] and all(min(x) == c for c, x in parts.items())
+    for cap, n in ((3, 25), (None, 7)):
+        edges = kg_of(spark, [(f"n{rng.randrange(n)}", "r", f"n{rng.randrange(n)}") for _ in range(2 * n)]).edges
+        got_ = louvain.partition_graph(edges, cap).collect()
+        of = {r["node"]: r["comm"] for r in got_}
+        weight = {(r["u"], r["v"]): r["weight"] for r in louvain.weighted(edges).collect()}
+        assert len(of) == len(got_) and set(of) == {n for k in weight for n in k}
+        assert louvain._quality(weight, of) > louvain._quality(weight, {n: n for n in of})
+        assert cap is None or max(list(of.values()).count(c) for c in of.values()) <= cap
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -165,26 +259,54 @@ def test_cosine_drops_zero_and_negative(spark):
     assert got(sim.cosine_top(q, v, 0.0, 5), "candidate", "rank") == [("a", 1), ("d", 2)]
 
 
-@pytest.mark.parametrize("name,threshold,top_n", [("q_cosine_topn_all", 0.0, 10), ("q_multi_center_all", 0.3, 5)])
-def test_every_vector_is_a_query(spark, tmp_path, name, threshold, top_n):
+def test_cosine_in_blocks_and_by_broadcast_equals_brute_force(spark, monkeypatch):
     import numpy as np
 
-    from triplespark.plans.queries import REGISTRY
-
     e = np.random.default_rng(2).normal(size=(60, 8)).astype(np.float32)
-    e[7] = 0
-    e[9] = e[8]
-    spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(e)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    e[7], e[9], e[11] = 0, e[8], e[8]
     x = e.astype(float)
-    want = set()
-    for i in range(60):
-        s = [(-round(float(x[i] @ x[j]) / float(np.linalg.norm(x[i]) * np.linalg.norm(x[j])), 9), j) for j in range(60) if 7 not in (i, j)]
-        want |= {(i, j, r) for r, (v, j) in enumerate(sorted(s)[:top_n], 1) if -v >= threshold}
-    assert {(r["query"], r["candidate"], r["rank"]) for r in REGISTRY[name][0](spark, str(tmp_path)).collect()} == want
-    v = spark.read.parquet(str(tmp_path / "embeddings.parquet")).selectExpr("vec_id as candidate", "embedding as emb", "vec_id as ord")
-    q = v.selectExpr("candidate as query", "emb as q_emb")
-    pick = lambda df: {(r["query"], r["rank"], round(r["score"], 6)) for r in df.collect()}
-    assert pick(sim.cosine_top_all(q, v, threshold, top_n, block=16)) == pick(sim.cosine_top(q, v, threshold, top_n))
+    v = spark.createDataFrame([(i, r.tolist(), -i) for i, r in enumerate(e)] + [(100, None, 1), (101, [1.0], 2)], "candidate long, emb array<float>, ord int").repartition(3)
+    q = v.where("candidate % 5 = 0 or candidate = 7").selectExpr("candidate as query", "emb as q_emb")
+    for threshold, top_n in ((0.0, 10), (0.3, 2)):
+        want = set()
+        for i in [*range(0, 60, 5)]:
+            s = [(-round(float(x[i] @ x[j]) / float(np.linalg.norm(x[i]) * np.linalg.norm(x[j])), 9), -j) for j in range(60) if j != 7]
+            want |= {(i, -j, r) for r, (v_, j) in enumerate(sorted(s)[:top_n], 1) if -v_ >= threshold}
+        for most in (sim.BROADCAST_BYTES, 0):
+            monkeypatch.setattr(sim, "BROADCAST_BYTES", most)
+            assert {(r["query"], r["candidate"], r["rank"]) for r in sim.cosine_top(q, v, threshold, top_n, block=16).collect()} == want
+        monkeypatch.undo()
+
+
+def test_fuzzy_in_blocks_and_by_broadcast_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcé") for _ in range(rng.randint(0, 90))) for _ in range(80)] + ["abc", "abc", "ABC", None]
+    targets = [*names[:6], "ABC", "", None, "x" * 200]
+    c = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "candidate string, ord int").repartition(3)
+    t = spark.createDataFrame([(x,) for x in targets], "target string")
+    score = lambda a, b: 100.0 if not a and not b else 200.0 * lcs(a, b) / (len(a) + len(b))
+    for threshold, top_n in ((0.0, 3), (55.0, 1)):
+        want = set()
+        for x in {x for x in targets if x is not None}:
+            s = sorted((-score(x.lower(), y), i) for i, y in enumerate(names) if y is not None)[:top_n]
+            want |= {(x, names[i], round(-v, 6), r) for r, (v, i) in enumerate(s, 1) if -v >= threshold}
+        for most in (sim.BROADCAST_BYTES, 0):
+            monkeypatch.setattr(sim, "BROADCAST_BYTES", most)
+            assert {(r["target"], r["candidate"], round(r["score"], 6), r["rank"]) for r in sim.fuzzy_top(t, c, threshold, top_n, block=16).collect()} == want
+        monkeypatch.undo()
+
+
+def test_labels_meet_all_nodes_but_spent_ones(spark):
+    nodes = spark.createDataFrame([("paris",), ("pariss",), ("rome",), ("oslo",)], "id string")
+    r = spark.createDataFrame([(0, "paris", 0.5, 0), (0, "romee", 0.25, 1), (0, "rome", 0.5, 2), (1, "paris", 1.0, 0), (1, "Oslo", 0.5, 1)], "qid long, label string, score double, ord int")
+    spent = spark.createDataFrame([(1, "paris"), (0, "oslo")], "qid long, node string")
+    assert got(sim.match_entities(r, nodes, spent)) == [(0, "paris", 0.5), (0, "rome", 0.75), (1, "oslo", 0.5), (1, "pariss", 1.0)]
+    assert got(sim.match_entities(r.limit(0), nodes, spent)) == []
+    mixed = spark.createDataFrame([(0, "Rome", 0.5, 0)], "qid long, label string, score double, ord int")
+    cased = spark.createDataFrame([("Rome",), ("xyz",)], "id string")
+    assert got(sim.match_entities(mixed, cased)) == [(0, "Rome", 0.5)]
+    assert got(sim.match_entities(mixed, cased, compat=True)) == [(0, "Rome", 1.0)]  # in both ways: exact, and as "rome"
+    assert got(sim.match_scores(mixed, cased.selectExpr("0L as qid", "id as target", "0 as ord"), compat=True)) == [(0, "Rome", 1.0)]
 
 
 def test_match_scores(spark):
@@ -211,6 +333,8 @@ def test_text_functions(spark):
     ).first()
     assert [tuple(x) for x in row["s"]] == [("a b", 0.5), ("c", 1.0), ("d", None)]
     assert (row["f"], row["o"], row["q"], row["t"], row["h"]) == (True, False, "why", False, "a&b c")
+    pages = spark.createDataFrame([("<p>caf&eacute; &#252;ber &#x41;</p><p>&nbsp;</p><p> &amp;lt; </p>",), (None,), ("",)], "h string")
+    assert [r[0] for r in pages.select(tx.html_text(pages["h"])).collect()] == ["café über A &lt;", None, ""]
 
 
 def test_spans_and_recognition(spark):
@@ -238,6 +362,18 @@ def test_corpora(spark, tmp_path):
         m.contents(spark)
     with pytest.raises(KeyError):
         m.contents(spark, query_ids=[99])
+    many = [str(tmp_path / f"many{i}.json") for i in range(3)]
+    for i, name in enumerate(many):
+        with open(name, "w") as f:
+            json.dump([{"source": f"{i}-{k}", "chunk": "c", "entities": {}, "triples": []} for k in range(4)], f, indent=1)
+    assert got(corpora.chunk_info(spark, [many[2], str(tmp_path / "absent"), many[0], many[1]]), "file_idx", "chunk_idx", "source") == [(f, k, f"{i}-{k}") for f, i in enumerate((2, 0, 1)) for k in range(4)]
+    far = spark.createDataFrame([(0, 1 << 28, {}, [("a", "r", "b")])], "file_idx int, chunk_idx long, entities map<string,string>, triples array<struct<subject:string,relationship:string,object:string>>")
+    with pytest.raises(Exception, match="chunks of a file"):
+        corpora.triples_of(far).collect()
+    built, store = [], corpora.ChunkCache(spark, f"file://{tmp_path}/store")
+    rows_of = lambda ids: (built.append(ids), spark.createDataFrame([(i, i, 0, "s", f"c{i}", {}, []) for i in ids], f"query_id int, file_idx int, chunk_idx int, {corpora.CHUNK_INFO}"))[1]
+    assert got(store.get([1, 2], rows_of), "query_id", "chunk") == [(1, "c1"), (2, "c2")]
+    assert got(store.get([2, 3], rows_of), "query_id", "chunk") == [(2, "c2"), (3, "c3")] and built == [[1, 2], [3]]
     import bz2
 
     page = {"query": "q", "search_results": [{"page_name": "A", "page_result": "<p>x</p>"}, {"page_name": "B", "page_result": ""}, {"page_name": "C", "page_result": "<p>x</p>"}]}
@@ -290,7 +426,7 @@ def test_triple_search_strategies_end(spark, paths, style, scorer):
 def test_community_search(spark, many):
     kg, q = family(spark), spark.createDataFrame(QUERIES, "qid long, query string")
     model = ScriptedModel([(r"Name the entities(.|\n)*alice", "{alice (Score: 1.0)}"), ("Name the entities", "{bob (Score: 0.5)} {paris (Score: 0.5)}"), ("Which option", "{A (Score: 0.9)} {B (Score: 0.2)}"), ("Is this enough", "{No}"), ("Answer from", "paris")], "?")
-    s = CommunitySearch(kg, model, HashingEmbedder() if many else None, depth=3, cap=2, many_centers=many, update_history=True)
+    s = CommunitySearch(kg, model, HashingEmbedder() if many else None, depth=2 if many else 3, cap=2, many_centers=many, update_history=True)
     chains, _ = s.retrieve(spark, q)
     seen = {}
     for r in chains.collect():
@@ -322,3 +458,41 @@ def test_halving_model():
     assert HalvingModel(Short()).chat([{"role": "user", "content": "abcdefghij"}]) == "ABCDEFGHIJ"
     with pytest.raises(RuntimeError):
         HalvingModel(Short(), 1).chat([{"role": "user", "content": "a" * 100}])
+
+
+def test_run_from_corpus_to_judged_answers(spark, tmp_path):
+    from triplespark.plans.run import Run, accuracy
+
+    row = lambda q, text, answer: {"id": "x", "question": q, "paragraphs": [{"idx": 0, "title": "T", "paragraph_text": text}], "question_decomposition": [], "answer": answer, "answer_aliases": ["Paree"]}
+    rows = [row("where does alice live?", "Alice lives in Paris", "paris"), row("where does bob live?", "Bob lives in Rome", "rome")]
+    (tmp_path / "m.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    model = ScriptedModel([
+        ("Write each fact(.|\n)*Alice", "{'subject': 'Alice', 'relationship': 'lives in', 'object': 'Paris'}"), ("Write each fact(.|\n)*Bob", "{'subject': 'Bob', 'relationship': 'lives in', 'object': 'Rome'}"),
+        ("Name the entities(.|\n)*alice", "{alice (Score: 1.0)}"), ("Name the entities", "{bob (Score: 1.0)}"), ("Is this enough", "{Yes}"), ("paris", "paris"), ("Paris", "paris"),
+    ], "unknown")
+    names = Gazetteer({"alice": "person", "bob": "person", "paris": "location", "rome": "location"})
+    run = Run(spark, corpora.MultihopCorpus(str(tmp_path / "m.jsonl")), model, names, HashingEmbedder(), str(tmp_path / "out"), judged_by=lambda df, _: exact_match(df))
+    for method, right in (("plain", [False, False]), ("retrieval", [True, False]), ("triples", [True, False])):
+        results = {r["query_id"]: r for r in run.run([0, 1], method).collect()}
+        assert [results[i]["correct"] for i in (0, 1)] == right and all(r["error"] is None and r["duration"] > 0 for r in results.values())
+    record = json.loads(results[0]["record"])
+    assert record["rounds"] == 1 and record["duration"] > 0 and record["settings"]["top_n"] == "3"
+    assert (tmp_path / "out" / "query_0_triples" / "used_graph_1.html").exists() and (tmp_path / "out" / "query_0_triples" / "final.html").exists()
+    bad = run.run([7], "plain")
+    assert bad.first()["error"].startswith("KeyError") and "failed" in (tmp_path / "out" / "query_7_plain.log").read_text()
+    kept = spark.read.json(str(tmp_path / "out" / "results"))
+    assert kept.count() == 7 and {r["method"]: (r["asked"], r["failed"]) for r in accuracy(kept).collect()}["plain"] == (3, 1)
+    with pytest.raises(ValueError):
+        run.run([0], "luck")
+
+
+def test_intermediate_results_are_deleted(spark):
+    from pathlib import Path
+
+    from triplespark.sources import storage
+
+    df = storage.checkpointed(spark.range(5))
+    path = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists() and df.count() == 5
+    storage.release(spark)
+    assert not path.exists() and not [x for x in storage._MADE if x[0] is spark]

@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as tx
+from ..functions.registry import register
+from ..models import Gazetteer, LetterEmbedder, PatternEntities, ScriptedModel
 from ..operators import beam, community, louvain, render
 from ..operators import graph as g
 from ..schema import color_case
 from ..sources import corpora
+from ..sources.storage import checkpointed, new_path
 from . import workload as w
+from .community_search import CommunitySearch
 from .qa import retrieved_context
+from .scoring import EmbeddingScorer, prune
+from .triple_search import TripleSearch
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -92,13 +98,13 @@ _HOPS = f"""WITH RECURSIVE {w.TRIPLES_SQL}, {w.ADJ_SQL}, {w.CENTERS_SQL}, S AS (
 
 @query(f"{_HOPS} SELECT center, node, depth FROM H")
 def q_k_hop(spark, d):
-    return w.graph(spark, d).k_hop(w.centers(spark, d), 2)
+    return w.stored_graph(spark, d).k_hop(w.centers(spark, d), 2)
 
 
 @query(f"{_HOPS} SELECT x.center, e.ord, e.subject, e.label, e.object FROM E e JOIN H x ON x.node = e.subject JOIN H y ON y.node = e.object AND y.center = x.center")
 def q_ego_edges(spark, d):
-    kg = w.graph(spark, d)
-    return kg.induced(kg.k_hop(w.centers(spark, d), 2))
+    kg = w.stored_graph(spark, d)
+    return kg.induced(checkpointed(kg.k_hop(w.centers(spark, d), 2)))
 
 
 @query(f"{w.WITH} SELECT subject, count(*) AS n FROM (SELECT DISTINCT subject, label, object FROM E) GROUP BY subject")
@@ -133,6 +139,28 @@ def q_format_trees(spark, d):
     return render.render(w.graph(spark, d).edges.join(m, "subject"), "trees")
 
 
+_BASED = f"""{w.WITH_COMM}, N AS (SELECT m.comm, r.subject AS n, r.object AS r FROM E r JOIN M m ON m.node = r.subject WHERE r.label = 'in region'),
+    B AS (SELECT n.comm, 0 AS at, n.n AS root, n.n || chr(10) || '└── ' || n.r || ' ─── (in region)' AS block FROM N n
+        UNION ALL SELECT n.comm, 1, c.subject, c.subject || chr(10) || '└── ' || n.n || ' ─── (based in)' || chr(10) || '    └── ' || n.r || ' ─── (in region)' FROM E c JOIN N n ON n.n = c.object WHERE c.label = 'based in')"""
+
+
+@query(f"{_BASED} SELECT comm AS qid, string_agg(block, chr(10) || chr(10) ORDER BY root) AS text FROM B GROUP BY comm")
+def q_trees_acyclic(spark, d):
+    m = w.membership(spark, d).select(F.col("comm").alias("qid"), F.col("node").alias("subject"))
+    return render.render(w.graph(spark, d).edges.where(F.col("label").isin("based in", "in region")).join(m, "subject"), "trees")
+
+
+@query(f"""{w.WITH_COMM}, X AS (SELECT m.comm AS qid, e.ord, e.subject, e.label, e.object FROM E e JOIN M m ON m.node = e.subject WHERE e.label = 'in region')
+    SELECT qid, string_agg(subject || ', ' || label || ', ' || object, chr(10) ORDER BY ord) AS text FROM X GROUP BY qid
+    UNION ALL SELECT -1 - r_regionkey, 'region:' || r_regionkey FROM region""")
+def q_render_single(spark, d):
+    m = w.membership(spark, d).select(F.col("comm").alias("qid"), F.col("node").alias("subject"))
+    edges = w.graph(spark, d).edges.where("label = 'in region'").join(m, "subject")
+    alone = w.table(spark, d, "region").select((-1 - F.col("r_regionkey")).cast("long").alias("qid"), w._name("region", "r_regionkey").alias("id"))
+    nodes = edges.select("qid", F.explode(F.array("subject", "object")).alias("id")).unionByName(alone)
+    return render.render(edges, "triples", nodes=nodes)
+
+
 _COLORED = "CASE WHEN label = 'lives in' THEN NULL WHEN label = 'trades with' THEN '#aa0000' ELSE 'lightgray' END"
 
 
@@ -147,11 +175,28 @@ def q_round_color_index(spark, d):
     return g.round_color_index(w.used_edges(spark, d))
 
 
-@query()
+def _supplier_chains(spark, d):
+    """Ten chains of suppliers' communities; those of neighbouring places are linked by what both supply."""
+    order = Window.partitionBy(F.col("s_suppkey") % 10).orderBy("s_suppkey")
+    return w.table(spark, d, "supplier").select((F.col("s_suppkey") % 10).alias("chain"), (F.row_number().over(order) - 1).alias("pos"), F.col("s_suppkey").alias("comm"))
+
+
+_CHAINED = """CH AS (SELECT s_suppkey % 10 AS chain, row_number() OVER (PARTITION BY s_suppkey % 10 ORDER BY s_suppkey) - 1 AS pos, s_suppkey AS comm FROM supplier),
+    ST AS (SELECT x.pos, least(x.comm, y.comm) AS a, greatest(x.comm, y.comm) AS b FROM CH x JOIN CH y ON y.chain = x.chain AND y.pos = x.pos - 1),
+    PL AS (SELECT e.ord, e.subject, e.object, s.comm AS cs, o.comm AS co FROM E e JOIN M s ON s.node = e.subject JOIN M o ON o.node = e.object),
+    IX AS (SELECT p.ord, p.subject, p.object, 2 * c.pos AS i, 0 AS odd FROM PL p JOIN CH c ON c.comm = p.cs WHERE p.cs = p.co
+        UNION ALL SELECT p.ord, p.subject, p.object, 2 * t.pos - 1, 1 FROM PL p JOIN ST t ON t.a = least(p.cs, p.co) AND t.b = greatest(p.cs, p.co) WHERE p.cs <> p.co)"""
+
+
+@query(f"""{w.WITH_PARTS}, {_CHAINED}
+    SELECT node, coalesce(min(i) FILTER (WHERE odd = 0), min(i))::INTEGER AS color_index FROM (SELECT unnest([subject, object]) AS node, i, odd FROM IX) GROUP BY node""")
 def q_chain_colors(spark, d):
-    chains = w.table(spark, d, "nation").select((F.col("n_regionkey")).alias("chain"), (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("pos"), F.col("n_nationkey").cast("long").alias("comm"))
-    nodes, _ = render.chain_colors(chains, w.graph(spark, d).edges, w.membership(spark, d))
-    return nodes
+    return render.chain_colors(_supplier_chains(spark, d), w.graph(spark, d).edges, w.supplied(spark, d))[0]
+
+
+@query(f"{w.WITH_PARTS}, {_CHAINED} SELECT ord, min(i)::INTEGER AS color_index FROM IX GROUP BY ord")
+def q_chain_edge_colors(spark, d):
+    return render.chain_colors(_supplier_chains(spark, d), w.graph(spark, d).edges, w.supplied(spark, d))[1]
 
 
 # Communities
@@ -197,26 +242,14 @@ def q_comm_of_node(spark, d):
     return community.community_of(w.membership(spark, d), w.graph(spark, d).edges.select(F.col("subject").alias("node")))
 
 
-def _regions(spark, d):
-    """(comm, node): each part with the lowest of its suppliers, a partition whose communities are linked."""
-    low = w.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("comm"))
-    rows = low.select("comm", w._name("part", "l_partkey").alias("node"))
-    return rows.unionByName(w.table(spark, d, "supplier").select(F.col("s_suppkey").alias("comm"), w._name("supplier", "s_suppkey").alias("node")))
-
-
-_WITH_PARTS = f"""WITH {w.TRIPLES_SQL}, M AS (
-    SELECT min(l_suppkey) AS comm, 'part:' || l_partkey AS node FROM lineitem GROUP BY l_partkey
-    UNION ALL SELECT s_suppkey, 'supplier:' || s_suppkey FROM supplier)"""
-
-
-@query(f"{_WITH_PARTS}, {_OUTER} SELECT o.comm, m.comm AS neighbor, min(o.ord) AS ord FROM O o JOIN M m ON m.node = o.outside WHERE m.comm <> o.comm GROUP BY ALL")
+@query(f"{w.WITH_PARTS}, {_OUTER} SELECT o.comm, m.comm AS neighbor, min(o.ord) AS ord FROM O o JOIN M m ON m.node = o.outside WHERE m.comm <> o.comm GROUP BY ALL")
 def q_comm_neighbors(spark, d):
-    return community.neighbor_communities(w.graph(spark, d).edges, _regions(spark, d))
+    return community.neighbor_communities(w.graph(spark, d).edges, w.supplied(spark, d))
 
 
-@query(f"{_WITH_PARTS} SELECT least(s.comm, o.comm) AS a, greatest(s.comm, o.comm) AS b, e.ord, e.subject, e.label, e.object FROM E e JOIN M s ON s.node = e.subject JOIN M o ON o.node = e.object WHERE s.comm <> o.comm")
+@query(f"{w.WITH_PARTS} SELECT least(s.comm, o.comm) AS a, greatest(s.comm, o.comm) AS b, e.ord, e.subject, e.label, e.object FROM E e JOIN M s ON s.node = e.subject JOIN M o ON o.node = e.object WHERE s.comm <> o.comm")
 def q_comm_between(spark, d):
-    return community.edges_between(w.graph(spark, d).edges, _regions(spark, d))
+    return community.edges_between(w.graph(spark, d).edges, w.supplied(spark, d))
 
 
 def _candidates(spark, d):
@@ -248,12 +281,26 @@ def q_used_centers(spark, d):
     return community.used_centers(chains, community.centers(w.graph(spark, d).edges, w.membership(spark, d)))
 
 
-@query()
+@query(f"""{w.WITH_PARTS}, {_CHAINED},
+    BD AS (SELECT s.comm, string_agg(e.subject || ', ' || e.label || ', ' || e.object, chr(10) ORDER BY e.label, e.ord, e.subject || ', ' || e.label || ', ' || e.object) AS body FROM E e JOIN M s ON s.node = e.subject JOIN M o ON o.node = e.object WHERE s.comm = o.comm GROUP BY s.comm),
+    BR AS (SELECT least(s.comm, o.comm) AS a, greatest(s.comm, o.comm) AS b, string_agg(e.subject || ', ' || e.label || ', ' || e.object, chr(10) ORDER BY e.ord, e.subject || ', ' || e.label || ', ' || e.object) AS bridge FROM E e JOIN M s ON s.node = e.subject JOIN M o ON o.node = e.object WHERE s.comm <> o.comm GROUP BY 1, 2),
+    TX AS (SELECT c.chain, c.pos, concat_ws(chr(10) || chr(10), r.bridge, b.body) AS p FROM CH c LEFT JOIN CH l ON l.chain = c.chain AND l.pos = c.pos - 1 LEFT JOIN BR r ON r.a = least(l.comm, c.comm) AND r.b = greatest(l.comm, c.comm) LEFT JOIN BD b ON b.comm = c.comm)
+    SELECT 0 AS qid, chain, coalesce(string_agg(p, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE p <> ''), '') AS text FROM TX GROUP BY chain""")
 def q_chain_text(spark, d):
-    edges, members = w.graph(spark, d).edges, w.membership(spark, d)
-    chains = w.table(spark, d, "nation").select(F.col("n_regionkey").alias("qid"), F.lit(0).alias("chain"), F.col("n_nationkey").alias("pos"), F.col("n_nationkey").cast("long").alias("comm"))
+    edges, members = w.stored_graph(spark, d).edges, w.supplied(spark, d)
     body = render.triple_lines(community.inner_edges(edges, members), "comm").select("comm", F.col("text").alias("body"))
-    return community.chain_text(chains, edges, members, body)
+    return community.chain_text(_supplier_chains(spark, d).withColumn("qid", F.lit(0)), edges, members, body)
+
+
+@query(f"""{w.WITH_COMM}, {_CENTER}, L AS (SELECT s.comm, string_agg(e.subject || ', ' || e.label || ', ' || e.object, chr(10) ORDER BY e.label, e.ord, e.subject || ', ' || e.label || ', ' || e.object) AS lines FROM E e JOIN M s ON s.node = e.subject JOIN M o ON o.node = e.object WHERE s.comm = o.comm GROUP BY s.comm),
+    NS AS (SELECT comm, string_agg(node, chr(39) || ', ' || chr(39) ORDER BY node) AS names FROM M GROUP BY comm)
+    SELECT q.comm, 'Community(' || q.center || chr(10) || 'nodes=[' || chr(39) || names || chr(39) || ']' || chr(10) || coalesce(lines, '') || chr(10) || ')' AS text FROM Q q JOIN NS ON NS.comm = q.comm LEFT JOIN L ON L.comm = q.comm""")
+def q_community_text(spark, d):
+    edges, members = w.stored_graph(spark, d).edges, w.membership(spark, d)
+    nodes = members.groupBy("comm").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    lines = render.triple_lines(community.inner_edges(edges, members), "comm").withColumnRenamed("text", "paths")
+    facts = community.centers(edges, members).join(nodes, "comm").join(lines, "comm", "left")
+    return facts.select("comm", community.community_text(F.col("center"), F.col("nodes"), F.col("paths")).alias("text"))
 
 
 # Louvain
@@ -278,28 +325,42 @@ def q_louvain_gain(spark, d):
 _AGGREGATED = "least(a.comm, b.comm) AS u, greatest(a.comm, b.comm) AS v, sum(weight)::BIGINT AS weight FROM WG JOIN M a ON a.node = u JOIN M b ON b.node = v GROUP BY 1, 2"
 
 
-@query(f"{_WITH_PARTS}, {_WEIGHTED} SELECT {_AGGREGATED}")
+@query(f"{w.WITH_PARTS}, {_WEIGHTED} SELECT {_AGGREGATED}")
 def q_louvain_aggregate(spark, d):
-    return louvain.aggregate(louvain.weighted(w.graph(spark, d).edges), _regions(spark, d))
+    return louvain.aggregate(louvain.weighted(w.graph(spark, d).edges), w.supplied(spark, d))
 
 
-@query(f"""{w.WITH_COMM}, E2 AS (SELECT e.* FROM E e JOIN M a ON a.node = e.subject JOIN M b ON b.node = e.object),
-    WG AS (SELECT least(subject, object) AS u, greatest(subject, object) AS v, count(*) AS weight FROM E2 GROUP BY ALL),
+@query(f"""WITH {w.TRIPLES_SQL}, {w.WHOLE_SQL}, {_WEIGHTED},
     DD AS (SELECT m.comm, sum(weight) AS d FROM (SELECT u AS node, weight FROM WG UNION ALL SELECT v, weight FROM WG) JOIN M m USING (node) GROUP BY m.comm),
     LL AS (SELECT a.comm, sum(weight) AS l FROM WG JOIN M a ON a.node = u JOIN M b ON b.node = v WHERE a.comm = b.comm GROUP BY a.comm),
     TT AS (SELECT sum(weight)::DOUBLE AS m FROM WG)
     SELECT round(sum(coalesce(l, 0) / m - (d / (2 * m)) ^ 2), 6) AS modularity FROM DD LEFT JOIN LL USING (comm), TT""")
 def q_modularity(spark, d):
-    members = w.membership(spark, d)
-    inside = community._ends(w.graph(spark, d).edges, members).where("cs is not null and co is not null")
-    return louvain.modularity(louvain.weighted(inside), members).select(_r("modularity").alias("modularity"))
+    weighted = checkpointed(louvain.weighted(w.graph(spark, d).edges))
+    return louvain.modularity(weighted, checkpointed(w.whole_partition(spark, d))).select(_r("modularity").alias("modularity"))
 
 
 @query()
 def q_louvain(spark, d):
-    kg, at = w.graph(spark, d), w.table(spark, d, "region").select(w._name("region", "r_regionkey").alias("center"))
-    ball = kg.k_hop(at, 2)
-    return louvain.detect(kg.induced(ball), ball, cap=5)
+    return louvain.partition_graph(w.graph(spark, d).edges, cap=5)
+
+
+@query(f"{w.WITH} SELECT count(DISTINCT node) AS nodes, count(DISTINCT node) AS rows, true AS within_cap, true AS least_names, true AS above_singletons FROM (SELECT subject AS node FROM E UNION ALL SELECT object FROM E)")
+def q_louvain_invariants(spark, d):
+    edges = w.stored_graph(spark, d).edges
+    parts, weighted = checkpointed(louvain.partition_graph(edges, cap=5)), checkpointed(louvain.weighted(edges))
+    single = parts.select("node", F.col("node").alias("comm"))
+    better = louvain.modularity(weighted, parts).first()[0] > louvain.modularity(weighted, single).first()[0]
+    sizes = parts.groupBy("comm").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.countDistinct("node").alias("d"))
+    return sizes.agg(F.sum("d").alias("nodes"), F.sum("n").alias("rows"), (F.max("n") <= 5).alias("within_cap"), F.bool_and(F.col("least") == F.col("comm")).alias("least_names"), F.lit(better).alias("above_singletons"))
+
+
+@query(f"{_HOPS} SELECT center AS part, count(*) AS nodes, count(*) AS rows, true AS within_cap FROM H GROUP BY center")
+def q_community_detection(spark, d):
+    around = w.centers(spark, d).select(F.col("center").alias("part"), "center")
+    parts = CommunitySearch(w.stored_graph(spark, d), ScriptedModel([]), hops=2, cap=5).detected(around, 0)
+    sizes = parts.groupBy("part", "comm").agg(F.count("*").alias("n"), F.countDistinct("node").alias("d"))
+    return sizes.groupBy("part").agg(F.sum("d").alias("nodes"), F.sum("n").alias("rows"), (F.max("n") <= 5).alias("within_cap"))
 
 
 # Text
@@ -395,12 +456,17 @@ def q_ner_merge(spark, d):
     return tx.merge_spans(spans.select("doc_id", "text", "start", "end", "label"))
 
 
-@query("""SELECT DISTINCT d.doc_id, n.word AS entity, n.label FROM documents d, (VALUES ('the', 'person'), ('was', 'event'), ('der', 'law')) AS n(word, label) WHERE list_contains(regexp_extract_all(lower(d.text), '[a-zäöüßàâçéèêëîïôûùñáíóúü0-9_]+'), n.word)""")
+@query("""WITH RECURSIVE H AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL
+        UNION ALL SELECT doc_id, CASE side WHEN 0 THEN substr(text, 1, length(text) // 2) ELSE substr(text, length(text) // 2 + 1) END FROM H, (VALUES (0), (1)) AS t(side) WHERE length(text) > 384),
+    L AS (SELECT doc_id, row_number() OVER () AS leaf, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]') AS toks FROM H WHERE length(text) <= 384),
+    T AS (SELECT doc_id, leaf, generate_subscripts(toks, 1) AS i, unnest(toks) AS tok FROM L),
+    N AS (SELECT *, i - lag(i) OVER (PARTITION BY leaf ORDER BY i) > 2 IS NOT FALSE AS apart FROM T WHERE tok IN ('the', 'was', 'der')),
+    G AS (SELECT *, count(*) FILTER (WHERE apart) OVER (PARTITION BY leaf ORDER BY i) AS island FROM N),
+    S AS (SELECT doc_id, leaf, island, min(i) AS a, max(i) AS b, min_by(tok, i) AS head FROM G GROUP BY ALL)
+    SELECT DISTINCT s.doc_id, array_to_string(list_slice(l.toks, s.a, s.b), '') AS entity, CASE head WHEN 'the' THEN 'person' WHEN 'was' THEN 'event' ELSE 'law' END AS label FROM S s JOIN L l ON l.leaf = s.leaf""")
 def q_gazetteer_ner(spark, d):
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-zäöüßàâçéèêëîïôûùñáíóúü0-9_]+"), F.lit(0))
-    names = F.create_map(*[F.lit(x) for x in ("the", "person", "was", "event", "der", "law")])
-    found = w.table(spark, d, "documents").select("doc_id", F.explode(F.array_intersect(tokens, F.map_keys(names))).alias("entity"))
-    return found.select("doc_id", "entity", F.element_at(names, F.col("entity")).alias("label"))
+    names = Gazetteer({"the": "person", "was": "event", "der": "law"})
+    return tx.recognise(w.table(spark, d, "documents").select("doc_id", "text"), names).distinct()
 
 
 @query()
@@ -408,6 +474,20 @@ def q_chunk_documents(spark, d):
     return tx.chunks(w.table(spark, d, "documents").select("doc_id", "text"))
 
 
+@query("SELECT doc_id, true AS numbered, true AS substrings, true AS short, true AS begins, true AS ends FROM documents WHERE trim(text, chr(10) || chr(9) || chr(13) || ' ') <> ''")
+def q_chunk_invariants(spark, d):
+    docs = w.table(spark, d, "documents").select("doc_id", "text")
+    c = tx.chunks(docs).join(docs, "doc_id").where(F.trim(F.regexp_replace("text", r"[\n\t\r]", " ")) != "")
+    kept = F.contains("text", "chunk")
+    short = (F.length("chunk") <= tx.CHUNK) | ~F.rlike(tx.strip(F.col("chunk")), F.lit(r"(?s).(?:\n|\. )"))  # a separator may lead
+    first, last = (F.col("chunk_idx") == 0), F.col("chunk_idx") == F.col("n") - 1
+    c = c.join(c.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id").withColumn("whole", tx.strip(F.col("text")))
+    return c.groupBy("doc_id").agg(
+        (F.sum("chunk_idx") == F.max("n") * (F.max("n") - 1) / 2).alias("numbered"), F.bool_and(kept).alias("substrings"), F.bool_and(short).alias("short"),
+        F.bool_and(~first | F.startswith("whole", "chunk")).alias("begins"), F.bool_and(~last | F.endswith("whole", "chunk")).alias("ends"),
+    )
+
+
 @query("SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS paragraph FROM documents WHERE text IS NOT NULL")
 def q_split_paragraphs(spark, d):
     return w.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "paragraph")).withColumn("pos", F.col("pos").cast("long"))
@@ -429,11 +509,22 @@ _LCS = """P AS (SELECT DISTINCT lower(n_name) AS a, c_mktsegment AS b, n_name AS
     S AS (SELECT target, b AS candidate, 200.0::DOUBLE * r[length(b) + 1] / (length(a) + length(b)) AS score FROM D WHERE i = length(a))"""
 
 
-@query(f"""WITH RECURSIVE {_LCS}
-    SELECT target, candidate, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, candidate) AS rank FROM S) WHERE rank <= 2""")
+def _lcs(pairs: str) -> str:
+    """The same table of longest common subsequences for other pairs (a, b, target), each row of it one fold."""
+    return f"""P AS ({pairs}),
+    D AS (SELECT a, b, target, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0) AS r FROM P
+        UNION ALL SELECT a, b, target, i + 1, list_reduce(list_concat([[0]], list_transform(range(1, length(b) + 1), lambda j: [CASE WHEN substr(b, j, 1) = substr(a, i + 1, 1) THEN r[j] + 1 ELSE r[j + 1] END])), lambda x, y: list_append(x, greatest(y[1], x[len(x)]))) FROM D WHERE i < length(a)),
+    S AS (SELECT target, b AS candidate, 200.0::DOUBLE * r[length(b) + 1] / (length(a) + length(b)) AS score FROM D WHERE i = length(a))"""
+
+
+_SUPPLIERS = "SELECT lower(s_name) AS a, c_name AS b, s_name AS target FROM supplier, customer WHERE s_suppkey % 50 = 0"
+
+
+@query(f"""WITH RECURSIVE {_lcs(_SUPPLIERS)}
+    SELECT target, candidate, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, candidate) AS rank FROM S) WHERE rank <= 5""")
 def q_fuzzy_topn(spark, d):
-    segments = w.table(spark, d, "customer").select(F.col("c_mktsegment").alias("candidate"), F.col("c_mktsegment").alias("ord")).distinct()
-    return sim.fuzzy_top(w.table(spark, d, "nation").select(F.col("n_name").alias("target")), segments, 0.0, 2).withColumn("score", _r("score"))
+    names = w.table(spark, d, "customer").select(F.col("c_name").alias("candidate"), F.col("c_name").alias("ord"))
+    return sim.fuzzy_top(w.table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.col("s_name").alias("target")), names, 0.0, 5).withColumn("score", _r("score"))
 
 
 @query(f"WITH RECURSIVE {_LCS} SELECT target, candidate, round(score, 6) AS score FROM S")
@@ -447,14 +538,12 @@ def _vectors(spark, d):
     return e.select(F.col("vec_id").alias("candidate"), "emb", F.col("vec_id").alias("ord"))
 
 
-_COSINE = """L AS (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label),
-    V AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-    S AS (SELECT q.vec_id AS query, v.vec_id AS candidate, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score FROM V q JOIN L USING (vec_id), V v)"""
+_COSINE = """V AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    S AS (SELECT q.vec_id AS query, v.vec_id AS candidate, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 9) AS score FROM V q, V v WHERE q.vec_id % 50 = 0)"""
 
 
 def _asked(spark, d):
-    first = w.table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("candidate")).select("candidate")
-    return _vectors(spark, d).join(first, "candidate").select(F.col("candidate").alias("query"), F.col("emb").alias("q_emb"))
+    return _vectors(spark, d).where("candidate % 50 = 0").select(F.col("candidate").alias("query"), F.col("emb").alias("q_emb"))
 
 
 @query(f"""WITH {_COSINE} SELECT query, candidate, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM S WHERE score >= 0) WHERE rank <= 10""")
@@ -462,9 +551,20 @@ def q_cosine_topn(spark, d):
     return sim.cosine_top(_asked(spark, d), _vectors(spark, d), 0.0, 10).withColumn("score", _r("score"))
 
 
-@query(f"""WITH {_COSINE} SELECT query, candidate, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM S WHERE score >= 0.3) WHERE rank <= 5""")
+#: Counts of letters and digits, as the stand-in embedder has them.
+_LETTERS = "list_transform(range(36), lambda k: (length(lower({0})) - length(replace(lower({0}), substr('abcdefghijklmnopqrstuvwxyz0123456789', k + 1, 1), '')))::DOUBLE)"
+
+
+def _letter_cosine(x: str, y: str) -> str:
+    return f"round(list_dot_product({x}, {y}) / (sqrt(list_dot_product({x}, {x})) * sqrt(list_dot_product({y}, {y}))), 9)"
+
+
+@query(f"""{w.WITH}, {w.CENTERS_SQL}, NV AS (SELECT node, {_LETTERS.format('node')} AS e FROM (SELECT subject AS node FROM E UNION SELECT object FROM E)),
+    S AS (SELECT q.node AS part, v.node AS center, {_letter_cosine('q.e', 'v.e')} AS score FROM NV q JOIN C ON C.center = q.node, NV v)
+    SELECT part, center FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY score DESC, center) AS rank FROM S WHERE score >= 0.8) WHERE rank <= 5 UNION SELECT node, node FROM NV JOIN C ON center = node""")
 def q_multi_center(spark, d):
-    return sim.cosine_top(_asked(spark, d), _vectors(spark, d), 0.3, 5).withColumn("score", _r("score"))
+    search = CommunitySearch(w.stored_graph(spark, d), ScriptedModel([]), LetterEmbedder(), many_centers=True)
+    return search.centers_around(w.centers(spark, d))
 
 
 @query(f"""WITH {_COSINE}, K AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM S WHERE score >= 0)
@@ -474,30 +574,38 @@ def q_rag_retrieve(spark, d):
     return retrieved_context(_asked(spark, d).select(F.col("query").alias("qid"), "q_emb"), chunks, 4)
 
 
-def _every(spark, d):
-    return _vectors(spark, d).select(F.col("candidate").alias("query"), F.col("emb").alias("q_emb"))
-
-
-@query()
-def q_cosine_topn_all(spark, d):
-    return sim.cosine_top_all(_every(spark, d), _vectors(spark, d), 0.0, 10).withColumn("score", _r("score"))
-
-
-@query()
-def q_multi_center_all(spark, d):
-    return sim.cosine_top_all(_every(spark, d), _vectors(spark, d), 0.3, 5).withColumn("score", _r("score"))
+_LABELS = "SELECT lower(s_name) AS a, c_name AS b, s_name AS target FROM supplier, customer WHERE s_suppkey % 50 = 0"
 
 
-@query(f"""WITH RECURSIVE {_LCS}, Z AS (SELECT target AS label, candidate, row_number() OVER (PARTITION BY target ORDER BY score DESC, candidate) AS rank FROM S),
-    X AS (SELECT r_regionkey::BIGINT AS qid, 'BUILDING' AS target, 0.5::DOUBLE AS score FROM region
-        UNION ALL SELECT n_regionkey, candidate, (n_nationkey % 4) / 8.0::DOUBLE FROM nation JOIN Z ON label = n_name AND rank = 1)
+@query(f"""WITH RECURSIVE {_lcs(_LABELS)}, Z AS (SELECT target AS label, candidate, row_number() OVER (PARTITION BY target ORDER BY score DESC, candidate) AS rank FROM S),
+    X AS (SELECT s_suppkey % 5 AS qid, candidate AS target, (s_suppkey % 4 + 1) / 8.0::DOUBLE AS score FROM supplier JOIN Z ON label = s_name AND rank = 1 WHERE s_suppkey % 50 = 0
+        UNION ALL SELECT c_custkey % 5, c_name, 0.5::DOUBLE FROM customer WHERE c_custkey % 50 = 0)
     SELECT qid, target, sum(score) AS score FROM X GROUP BY ALL""")
 def q_match_score(spark, d):
-    n = w.table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("qid"), F.col("n_name").alias("label"), ((F.col("n_nationkey") % 4) / 8.0).alias("score"), (F.col("n_nationkey") + 1).alias("ord"))
-    r = w.table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("qid"))
-    exact = r.select("qid", F.lit("BUILDING").alias("label"), F.lit(0.5).alias("score"), F.lit(0).alias("ord"))
-    targets = r.crossJoin(w.table(spark, d, "customer").select(F.col("c_mktsegment").alias("target"), F.col("c_mktsegment").alias("ord")).distinct())
-    return sim.match_scores(n.unionByName(exact), targets)
+    s, c = w.table(spark, d, "supplier").where("s_suppkey % 50 = 0"), w.table(spark, d, "customer")
+    like = s.select((F.col("s_suppkey") % 5).alias("qid"), F.col("s_name").alias("label"), ((F.col("s_suppkey") % 4 + 1) / 8.0).alias("score"), F.col("s_suppkey").alias("ord"))
+    exact = c.where("c_custkey % 50 = 0").select((F.col("c_custkey") % 5).alias("qid"), F.col("c_name").alias("label"), F.lit(0.5).alias("score"), (-F.col("c_custkey")).alias("ord"))
+    return sim.match_entities(like.unionByName(exact), c.select(F.col("c_name").alias("id")))
+
+
+@query("""WITH RECURSIVE X AS (SELECT n_nationkey AS id, n_name AS a, upper(n_name) || ' ' || n_regionkey AS b FROM nation),
+    D AS (SELECT id, a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0) AS r FROM X
+        UNION ALL SELECT id, a, b, i + 1, list_prepend(0, list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN substr(b, k, 1) = substr(a, i + 1, 1) THEN r[k] + 1 ELSE r[k + 1] END)))) FROM D WHERE i < length(a)),
+    V AS (SELECT label, list_transform(embedding, lambda x: x::DOUBLE) AS e, vec_id FROM embeddings)
+    SELECT 'fuzz' AS kind, id::BIGINT AS id, round(200.0 * r[length(b) + 1] / (length(a) + length(b)), 6) AS value FROM D WHERE i = length(a)
+    UNION ALL SELECT 'cosine', vec_id, round(list_dot_product(e, e) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(e, e))), 6) FROM V
+    UNION ALL SELECT 'chunks', doc_id, true::INTEGER FROM documents WHERE trim(text, chr(10) || chr(9) || chr(13) || ' ') <> ''
+    UNION ALL SELECT 'html', page_id, true::INTEGER FROM pages WHERE html IS NOT NULL""")
+def q_sql_functions(spark, d):
+    register(spark)
+    for name in ("nation", "embeddings", "documents", "pages"):
+        w.table(spark, d, name).createOrReplaceTempView(f"t_{name}")
+    w.table(spark, d, "pages").select("page_id", tx.html_text(F.col("html")).alias("text")).createOrReplaceTempView("t_page_texts")
+    return spark.sql("""
+        SELECT 'fuzz' AS kind, cast(n_nationkey AS bigint) AS id, round(fuzz_ratio(n_name, concat(upper(n_name), ' ', n_regionkey)), 6) AS value FROM t_nation
+        UNION ALL SELECT 'cosine', vec_id, round(cosine(embedding, embedding), 6) FROM t_embeddings
+        UNION ALL SELECT 'chunks', doc_id, cast(count(*) > 0 AS int) FROM t_documents, LATERAL chunk_text(text, 600, 50) WHERE trim(BOTH '\n\t\r ' FROM text) <> '' GROUP BY doc_id
+        UNION ALL SELECT 'html', p.page_id, cast(html_text(p.html) = t.text AS int) FROM t_pages p JOIN t_page_texts t ON t.page_id = p.page_id""")
 
 
 # Sources
@@ -520,14 +628,39 @@ def q_pages_dedup(spark, d):
     return corpora.distinct_pages(rows)
 
 
-@query("SELECT r_regionkey::BIGINT AS position, r_name AS name FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) - 1 AS position FROM region) WHERE position IN (0, 2, 3)")
+@query("SELECT position, c_name AS name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer) WHERE position % 50 = 0")
 def q_scan_by_position(spark, d):
-    from ..sources.storage import ensure_checkpoint_dir
-    import uuid
-
-    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
-    w.table(spark, d, "region").orderBy("r_regionkey").coalesce(1).select(F.to_json(F.struct("r_name")).alias("value")).write.text(path)
-    return corpora.at_positions(spark, path, [0, 2, 3], "r_name string").select(F.col("query_id").alias("position"), F.col("r_name").alias("name"))
+    path, c = new_path(spark, "lines"), w.table(spark, d, "customer")
+    c.orderBy("c_custkey").select(F.to_json(F.struct("c_name")).alias("value")).write.text(path)
+    asked = spark.range(0, c.count(), 50).select(F.col("id").alias("position"))
+    return corpora.at_positions(spark, path, asked, "c_name string").select(F.col("query_id").alias("position"), F.col("c_name").alias("name"))
+
+
+@query("""SELECT f AS file_idx, (row_number() OVER (PARTITION BY f ORDER BY o_orderkey) - 1)::INTEGER AS chunk_idx, 'order ' || o_orderkey AS source, 'order:' || o_orderkey AS subject, 'customer:' || o_custkey AS object, 'event' AS kind
+    FROM (SELECT *, (o_orderkey % 3)::INTEGER AS f FROM orders)""")
+def q_chunk_info(spark, d):
+    """Three files, each a JSON list over several lines, and one that is absent."""
+    o, paths = w.table(spark, d, "orders"), []
+    k, subject = F.col("o_orderkey"), F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))
+    info = F.struct(
+        F.concat(F.lit("order "), k.cast("string")).alias("source"), F.lit("a chunk").alias("chunk"), F.create_map(subject, F.lit("event")).alias("entities"),
+        F.array(F.struct(subject.alias("subject"), F.lit("placed by").alias("relationship"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("object"))).alias("triples"),
+    )
+    for i in range(3):
+        items = o.where(k % 3 == i).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), F.to_json(info).alias("j")))).alias("x"))
+        paths.append(new_path(spark, "chunks"))
+        items.select(F.concat(F.lit("[\n"), F.array_join(F.transform("x", lambda x: x["j"]), ",\n"), F.lit("\n]")).alias("value")).coalesce(1).write.text(paths[-1])
+    rows = corpora.chunk_info(spark, [f"{paths[0]}-absent", *paths])
+    return rows.select("file_idx", "chunk_idx", "source", F.col("triples")[0]["subject"].alias("subject"), F.col("triples")[0]["object"].alias("object"), F.element_at("entities", F.col("triples")[0]["subject"]).alias("kind"))
+
+
+@query("""SELECT query_id, source_label, max_by(content, pos) AS content FROM (
+        SELECT p_partkey // 10 AS query_id, '(' || (p_partkey % 7) || ') ' || p_brand AS source_label, p_name AS content, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS pos FROM part) GROUP BY ALL""")
+def q_paragraphs(spark, d):
+    k = F.col("p_partkey")
+    item = F.struct(k.alias("k"), F.struct((k % 7).cast("int").alias("idx"), F.col("p_brand").alias("title"), F.col("p_name").alias("paragraph_text")).alias("p"))
+    rows = w.table(spark, d, "part").groupBy(F.floor(k / 10).alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["p"]).alias("paragraphs"))
+    return corpora.paragraphs_of(rows)
 
 
 # Beam search
@@ -537,14 +670,14 @@ _BEAM = f"{w.WITH_ADJ}, {w.SEARCH_SQL}, OPEN AS (SELECT topic, topic_score, neig
 
 
 def _kg_state(spark, d):
-    kg = w.graph(spark, d)
+    kg = w.stored_graph(spark, d)
     return kg, w.frontier(spark, d), w.used_edges(spark, d, kg)
 
 
 @query(f"""{w.WITH_ADJ}, {w.SEARCH_SQL} SELECT 0::BIGINT AS qid, node FROM (SELECT node, count(*) AS n, count(*) FILTER (WHERE ord IN (SELECT ord FROM U)) AS used FROM A GROUP BY node) WHERE used < n""")
 def q_unused_entities(spark, d):
     kg, _, used = _kg_state(spark, d)
-    return beam.unused_entities(kg, spark.range(1).select(F.col("id").alias("qid")), used)
+    return beam.unused_entities(kg, kg.nodes.select(F.lit(0).cast("long").alias("qid"), F.col("id").alias("node")), used)
 
 
 @query(f"{_BEAM} SELECT DISTINCT 0::BIGINT AS qid, topic, topic_score, label FROM OPEN")
@@ -590,8 +723,9 @@ def q_triple_prune(spark, d):
 
 @query(f"{_SELECTED} SELECT ord, round FROM U UNION ALL SELECT ord, 3 FROM SEL")
 def q_used_kg(spark, d):
-    chosen = beam.triple_prune(_scored(spark, d), 50).select("ord", F.lit(3).alias("round"))
-    return w.used_edges(spark, d).select("ord", "round").unionByName(chosen)
+    kg, found = _found(spark, d)
+    scored = beam.triple_scores(kg, found).withColumn("score", _r("score", 9))
+    return beam.commit(w.used_edges(spark, d, kg), beam.triple_prune(scored, 50), 3).select("ord", "round")
 
 
 @query(f"""{_SELECTED}, LAST AS (SELECT CASE WHEN topics = subject THEN object ELSE subject END AS topic, max_by(score, rank) AS s FROM SEL WHERE n = 1 GROUP BY 1)
@@ -600,33 +734,32 @@ def q_frontier_update(spark, d):
     return beam.frontier_update(beam.triple_prune(_scored(spark, d), 50)).withColumn("topic_score", _r("topic_score"))
 
 
-@query("""WITH N AS (SELECT doc_id, unnest(['the', 'and', 'der', 'les']) AS name, text FROM documents),
-    H AS (SELECT doc_id, name FROM N WHERE list_contains(string_split(lower(text), ' '), name))
-    SELECT doc_id AS qid, name AS topic, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS topic_score FROM H""")
+# Each question names a customer and its nation; the used edges are what a search has of where customers live.
+@query(f"""{w.WITH_ADJ}, QS AS (SELECT c_custkey AS qid, unnest(['customer:' || c_custkey, 'nation:' || c_nationkey]) AS node FROM customer WHERE c_custkey % 50 = 0)
+    SELECT qid, node AS topic, 0.5::DOUBLE AS topic_score FROM QS WHERE EXISTS (SELECT 1 FROM A WHERE A.node = QS.node AND NOT (A.subject = 'customer:' || qid AND A.label = 'lives in'))""")
 def q_topic_entities_ner(spark, d):
-    names = F.array(*[F.lit(x) for x in ("the", "and", "der", "les")])
-    hits = w.table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.explode(F.array_intersect(F.split(F.lower("text"), " "), names)).alias("topic"))
-    return hits.withColumn("topic_score", 1.0 / F.count("*").over(Window.partitionBy("qid")))
+    kg, asked = w.stored_graph(spark, d), w.questions(spark, d)
+    search = TripleSearch(kg, ScriptedModel([]), PatternEntities(r"\b(?:[Cc]ustomer|nation):\d+", "person"), topics="entities")
+    named = asked.select("qid", F.concat(F.lit("customer:"), F.col("qid").cast("string")).alias("subject"))
+    used = kg.edges.where("label = 'lives in'").join(named, "subject").select("qid", "ord", "subject", "label", "object", F.lit(1).alias("round"))
+    return search.topic_entities(asked, used)
 
 
-_PRUNED = """{cos}, I AS (SELECT label AS topic, vec_id AS item, embedding::DOUBLE[] AS e FROM embeddings), Q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
-    S2 AS (SELECT topic, item, list_dot_product(i.e, q.e) / (sqrt(list_dot_product(i.e, i.e)) * sqrt(list_dot_product(q.e, q.e))) AS score FROM I i, Q q)
-    SELECT topic AS {key}, item AS {item}, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, item) AS rank FROM S2 WHERE score >= 0) WHERE rank <= {n}"""
+_ASKED = "'which part of the trade is based in nation 7 and by whom is it placed?'"
+_RANKED = """{0}, QV AS (SELECT {1} AS q), IT AS (SELECT *, {2} AS e, count(*) OVER (PARTITION BY {3}) AS n FROM {4}),
+    SC AS (SELECT i.*, {5} AS score FROM IT i, QV)"""
 
 
-def _pruned(spark, d, key, item, n):
-    v = w.table(spark, d, "embeddings")
-    first = v.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q_emb"))
-    pairs = v.crossJoin(F.broadcast(first)).select(F.col("label").alias(key), F.col("vec_id").alias(item), (sim.dot(F.col("embedding"), F.col("q_emb")) / (sim.norm(F.col("embedding")) * sim.norm(F.col("q_emb")))).alias("score"))
-    order = Window.partitionBy(key).orderBy(F.col("score").desc(), item)
-    return pairs.where("score >= 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(key, item, _r("score").alias("score"))
-
-
-@query(_PRUNED.format(cos=f"WITH {_COSINE}", key="topic", item="relation", n=3))
+@query(f"""{_RANKED.format(_BEAM, _LETTERS.format(_ASKED), _LETTERS.format('label'), 'topic', '(SELECT DISTINCT topic, topic_score, label FROM OPEN)', _letter_cosine('i.e', 'q'))}
+    SELECT 0::BIGINT AS qid, topic, label, CASE n WHEN 1 THEN 1.0 ELSE round(score, 6) END AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, label) AS rank FROM SC WHERE score >= 0 OR n = 1) WHERE rank <= 1""")
 def q_relation_prune_emb(spark, d):
-    return _pruned(spark, d, "topic", "relation", 3)
+    rel = beam.relation_search(*_kg_state(spark, d)).withColumns({"item": F.col("label"), "ord": F.col("label"), "query": F.expr(_ASKED)})
+    return prune(rel, ["qid", "topic"], EmbeddingScorer(LetterEmbedder(), 1)).select("qid", "topic", "label", _r("score").alias("score"))
 
 
-@query(_PRUNED.format(cos=f"WITH {_COSINE}", key="relation", item="entity", n=5))
+@query(f"""{_RANKED.format(_BEAM, _LETTERS.format(_ASKED), _LETTERS.format('neighbor'), 'topic, label', '(SELECT DISTINCT topic, label, neighbor FROM OPEN)', _letter_cosine('i.e', 'q'))}
+    SELECT 0::BIGINT AS qid, topic, label, neighbor AS entity, CASE n WHEN 1 THEN 1.0 ELSE round(score, 6) END AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic, label ORDER BY score DESC, neighbor) AS rank FROM SC WHERE score >= 0 OR n = 1) WHERE rank <= 3""")
 def q_entity_prune_emb(spark, d):
-    return _pruned(spark, d, "relation", "entity", 5)
+    kg, front, used = _kg_state(spark, d)
+    found = beam.entity_search(kg, beam.relation_search(kg, front, used), used).withColumns({"item": F.col("entity"), "ord": F.col("entity"), "query": F.expr(_ASKED)})
+    return prune(found, ["qid", "topic", "label"], EmbeddingScorer(LetterEmbedder(), 3)).select("qid", "topic", "label", "entity", _r("score").alias("score"))

@@ -65,6 +65,11 @@ def graph(spark: SparkSession, sf_dir: str) -> KnowledgeGraph:
     return KnowledgeGraph.of(triples(spark, sf_dir))
 
 
+def stored_graph(spark: SparkSession, sf_dir: str) -> KnowledgeGraph:
+    """The same for queries that use the graph more than once."""
+    return graph(spark, sf_dir).stored()
+
+
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(comm, node): nations with their customers and suppliers."""
     t = lambda n: table(spark, sf_dir, n)
@@ -78,20 +83,53 @@ MEMBERS_SQL = """M AS (
     UNION ALL SELECT c_nationkey::BIGINT, 'customer:' || c_custkey FROM customer
     UNION ALL SELECT s_nationkey::BIGINT, 'supplier:' || s_suppkey FROM supplier)"""
 
+def supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(comm, node): each part with the lowest of its suppliers, a partition whose communities are linked."""
+    low = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("comm"))
+    rows = low.select("comm", _name("part", "l_partkey").alias("node"))
+    return rows.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("comm"), _name("supplier", "s_suppkey").alias("node")))
+
+
+WITH_PARTS = f"""WITH {TRIPLES_SQL}, M AS (
+    SELECT min(l_suppkey) AS comm, 'part:' || l_partkey AS node FROM lineitem GROUP BY l_partkey
+    UNION ALL SELECT s_suppkey, 'supplier:' || s_suppkey FROM supplier)"""
 WITH = f"WITH {TRIPLES_SQL}"
 WITH_ADJ = f"WITH {TRIPLES_SQL}, {ADJ_SQL}"
 WITH_COMM = f"WITH {TRIPLES_SQL}, {MEMBERS_SQL}"
 
 
 def centers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(center): all regions and one customer of each nation, the first."""
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("k"))
-    return table(spark, sf_dir, "region").select(_name("region", "r_regionkey").alias("center")).unionByName(c.select(_name("customer", "k").alias("center")))
+    """(center): every customer whose key is divisible by 50, the query set of searches."""
+    return table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(_name("customer", "c_custkey").alias("center"))
 
 
-CENTERS_SQL = """C AS (
-    SELECT 'region:' || r_regionkey AS center FROM region
-    UNION ALL SELECT 'customer:' || min(c_custkey) FROM customer GROUP BY c_nationkey)"""
+CENTERS_SQL = "C AS (SELECT 'customer:' || c_custkey AS center FROM customer WHERE c_custkey % 50 = 0)"
+
+
+def whole_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(comm, node) of every node: nations with what belongs to them, orders with their customer's nation, parts with their
+    first supplier's, users and events by themselves, regions together."""
+    t = lambda n: table(spark, sf_dir, n)
+    long = lambda c: F.col(c).cast("long")
+    rows = membership(spark, sf_dir)
+    ordered = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.unionByName(ordered.select(long("c_nationkey").alias("comm"), _name("order", "o_orderkey").alias("node")))
+    first = t("lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s")).join(t("supplier"), F.col("s") == F.col("s_suppkey"))
+    rows = rows.unionByName(first.select(long("s_nationkey").alias("comm"), _name("part", "l_partkey").alias("node")))
+    rows = rows.unionByName(t("region").select(F.lit(-1).cast("long").alias("comm"), _name("region", "r_regionkey").alias("node")))
+    rows = rows.unionByName(t("events").select((-2 - F.col("user_id")).alias("comm"), _name("user", "user_id").alias("node")).distinct())
+    return rows.unionByName(t("events").select(F.lit(1000).cast("long").alias("comm"), F.concat(F.lit("event:"), F.col("event_type")).alias("node")).distinct())
+
+
+WHOLE_SQL = """M AS (
+    SELECT n_nationkey::BIGINT AS comm, 'nation:' || n_nationkey AS node FROM nation
+    UNION ALL SELECT c_nationkey::BIGINT, 'customer:' || c_custkey FROM customer
+    UNION ALL SELECT s_nationkey::BIGINT, 'supplier:' || s_suppkey FROM supplier
+    UNION ALL SELECT c_nationkey::BIGINT, 'order:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey
+    UNION ALL SELECT s_nationkey::BIGINT, 'part:' || l_partkey FROM (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY l_partkey) JOIN supplier ON s = s_suppkey
+    UNION ALL SELECT -1, 'region:' || r_regionkey FROM region
+    UNION ALL SELECT DISTINCT -2 - user_id, 'user:' || user_id FROM events
+    UNION ALL SELECT DISTINCT 1000, 'event:' || event_type FROM events)"""
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,3 +177,10 @@ SEARCH_SQL = """U AS (SELECT ord, CASE label WHEN 'lives in' THEN 1 ELSE 2 END A
 F AS (
     SELECT 'nation:' || n_nationkey AS topic, (n_nationkey % 4 + 1) / 8.0::DOUBLE AS topic_score FROM nation
     UNION ALL SELECT 'customer:' || c_custkey, (c_custkey % 4 + 1) / 8.0::DOUBLE FROM customer)"""
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, query): a question about every customer whose key is divisible by 50, which names it and its nation."""
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    text = F.concat(F.lit("Which orders did Customer:"), k, F.lit(" of nation:"), n, F.lit(" place?"))
+    return table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("qid"), text.alias("query"))
