@@ -83,11 +83,13 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, fraction:
     plus Gumbel noise from a hash of doc_id and the seed, so a recomputed task draws the same. Ranks come from one
     range-partitioned sort, written with each row's place in its partition: no row goes to the driver, only the
     partitions' sizes. Equal scores rank by doc_id, nulls last; of equal rows either may be the last selected. A null
-    or empty text has no n-gram and weight 0, as has every text without a target.
+    or empty text has no n-gram and weight 0, as has every text without a target. Texts are weighed whole, however long;
+    an empty table gives an empty result; doc_id may be of any type that orders; other columns don't count, whatever
+    their names; labels of unknown documents and null ones are skipped.
     """
     scratch = Scratch(spark, "resample")
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct()
-    marked = docs.select("doc_id", "text").join(small(good, 2_000_000), F.col("doc_id") == F.col("__good"), "left")
+    good = scratch.table(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct(), "good")
+    marked = docs.select("doc_id", "text").join(small(good), F.col("doc_id") == F.col("__good"), "left")
     marked = marked.select(F.coalesce("text", F.lit("")).alias("text"), F.col("__good").isNotNull().alias("target"))
     counts = marked.mapInArrow(_counter(bits), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     table = np.zeros((2, 1 << bits))
