@@ -19,8 +19,9 @@ from . import textvec
 from .linear import fit_logistic
 from .scratch import Scratch
 
-#: Documents of each language that the fit reads at most, the lowest by a hash of doc_id.
-TRAIN_PER_LANGUAGE = 300
+#: Documents of each language, and of all together, that the fit reads at most, the lowest by a hash of doc_id. With
+#: more than 26 values of ``lang`` each has an equal share of the second.
+TRAIN_PER_LANGUAGE, TRAIN_ROWS = 300, 8000
 SIZES, BITS, GAP = (1, 2, 3), 12, 0.25
 
 
@@ -30,11 +31,13 @@ def codewords(classes: int, seed: int = 3) -> np.ndarray:
         splits = [s for s in itertools.product((1, -1), repeat=classes) if s[:1] == (1,) and -1 in s]
         return np.array(splits, np.int8).reshape(-1, classes).T if splits else np.ones((classes, 0), np.int8)
     rng, width, best, apart = np.random.default_rng(seed), int(np.ceil(10 * np.log2(classes))), None, -1
-    for _ in range(200):
+    for _ in range(max(2, min(200, 8_000_000 // classes**2))):
         code = rng.choice(np.array([-1, 1], np.int8), (classes, width))
-        if (np.abs(code.sum(0)) == classes).any():
+        if (np.abs(code.sum(0, dtype=np.int64)) == classes).any():
             continue
-        near = min((code[i] != code[j]).sum() for i, j in itertools.combinations(range(classes), 2))
+        alike = code.astype(np.float32) @ code.T.astype(np.float32)
+        np.fill_diagonal(alike, -width)
+        near = int((width - alike.max()) / 2)  # the least number of bits in which two codewords differ
         if near > apart:
             best, apart = code, near
     return best
@@ -93,11 +96,19 @@ def _extractor(sizes: tuple[int, ...], bits: int):
     return run
 
 
-def train(spark: SparkSession, docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> tuple:
+def train(spark: SparkSession, docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, sizes: tuple[int, ...] = SIZES, bits: int = BITS, rows: int = TRAIN_ROWS) -> tuple:
     """(languages, codewords, bit weights of each language, classifier weights, intercepts) fitted on labelled rows.
 
-    A language is a non-null value of ``lang``; its lowest rows by a hash of doc_id are the bounded sample.
+    A language is a non-null value of ``lang``; its lowest rows by a hash of doc_id are the bounded sample: at most
+    ``per_language``, and with many values of lang at most an equal share of ``rows``, so what reaches the driver stays
+    under rows * 2^bits * 4 bytes, 131 MB. More values than rows are an error: such a column names no languages.
+    The weight of a bit for a language is how often its classifier is right on that language's rows of the other half of
+    the sample, by the same hash, when fitted on one half; the classifiers kept are fitted on both.
     """
+    values = docs.where("lang is not null").agg(F.count_distinct("lang")).first()[0]
+    if values > rows:
+        raise ValueError(f"{values} values of lang, more than the {rows} rows of the sample")
+    per_language = max(1, min(per_language, rows // max(1, values)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id")
     named = docs.where("lang is not null and doc_id is not null and length(text) > 0").select("doc_id", "lang")
     picked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
@@ -107,15 +118,30 @@ def train(spark: SparkSession, docs: DataFrame, per_language: int = TRAIN_PER_LA
     languages = sorted(got["lang"].unique().tolist())
     y = np.searchsorted(languages, got["lang"].to_numpy(str)) if languages else np.zeros(0, int)
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), 1 << bits)
-    code = codewords(len(languages))
-    fits = [fit_logistic(lambda v: x @ v.astype(np.float32), lambda g: g.astype(np.float32) @ x, 1 << bits, (code[y, s] > 0).astype(float), 1e-5, 60) for s in range(code.shape[1])]
-    w = np.stack([f[0] for f in fits], 1).astype(np.float32) if fits else np.zeros((1 << bits, 0), np.float32)
-    b = np.array([f[1] for f in fits], np.float32)
-    right = ((x @ w + b > 0) == (code[y] > 0)).astype(float)
-    rates = np.stack([right[y == r].mean(0) for r in range(len(languages))]) if fits else np.ones((len(languages), 0))
+    code = codewords(len(languages)) if languages else np.ones((0, 0), np.int8)
+    half = np.zeros(len(got), bool)
+    for r in range(len(languages)):
+        half[np.flatnonzero(y == r)[::2]] = True
+    w, b = _fitted(x, y, code, np.ones(len(got), bool), bits)
+    rates = np.ones((len(languages), code.shape[1]))
+    if code.shape[1]:
+        right = np.ones((len(got), code.shape[1]))
+        for fit, held in ((half, ~half), (~half, half)):
+            if len(set(y[fit])) == len(languages):  # else a language has one row, which says nothing of its bits
+                u, c = _fitted(x, y, code, fit, bits)
+                right[held] = (x[held] @ u + c > 0) == (code[y[held]] > 0)
+        rates = np.stack([right[y == r].mean(0) for r in range(len(languages))])
     return languages, code, rates / np.maximum(1e-9, rates.sum(1, keepdims=True)), w, b
 
 
+def _fitted(x: np.ndarray, y: np.ndarray, code: np.ndarray, use: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts of the classifiers of all bits, fitted on these rows."""
+    m, t = x[use], code[y[use]] > 0
+    fits = [fit_logistic(lambda v: m @ v.astype(np.float32), lambda g: g.astype(np.float32) @ m, 1 << bits, t[:, s].astype(float), 1e-5, 60) for s in range(code.shape[1])]
+    w = np.stack([f[0] for f in fits], 1).astype(np.float32) if fits else np.zeros((1 << bits, 0), np.float32)
+    return w, np.array([f[1] for f in fits], np.float32)
+
+
 def classify_texts(texts: pa.Array, languages: list[str], code: np.ndarray, weights: np.ndarray, w: np.ndarray, b: np.ndarray, sizes: tuple[int, ...], bits: int, gap: float) -> pa.StructArray:
     """(predicted, distance, gap, ambiguous) of texts that have a space at either end."""
     lut, n = textvec.byte_lut(keep_digits=False), len(texts)
@@ -138,7 +164,9 @@ def language_id(spark: SparkSession, docs: DataFrame, gap: float = GAP, sizes: t
 
     A null or empty text, or one without a letter, has a null language and is ambiguous, as is every row when docs
     name no language. With one language all texts get it. Repeated rows are classified alike; other columns don't
-    count. ``gap`` is the least difference of distances at which the nearest codeword is sure.
+    count, whatever their names; doc_id may be of any type, and a null one is kept as it is (but isn't fitted on). Of
+    equal distances the language first by name is nearest, and the row is ambiguous. ``gap`` is the least difference of
+    distances at which the nearest codeword is sure. An empty table gives an empty result.
     """
     model = train(spark, docs, sizes=sizes, bits=bits, **parameters)
     sent = spark.sparkContext.broadcast((*model, sizes, bits, gap))
