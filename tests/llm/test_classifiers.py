@@ -1,7 +1,11 @@
+import math
 import random
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from triplespark.llm import importance, langid, quality_rules, textvec, toxicity
 
@@ -179,3 +183,140 @@ def test_importance_samples_in_proportion(spark):
     none = importance.resample(spark, docs, labels.limit(0), fraction=0.2)
     assert none.where("log_weight = 0").count() == 3000 and none.where("selected").count() == 600
     assert importance.resample(spark, cases.table(spark, []), labels).count() == 0
+
+
+def bucket(gram, bits):
+    """The bucket of an n-gram, a byte at a time."""
+    h = len(gram) * 0x9E3779B1 % 2**32
+    for c in gram:
+        h = (h ^ c) * 0x01000193 % 2**32
+    h ^= h >> 15
+    return h * 0x2C1B3C6D % 2**32 >> (32 - bits)
+
+
+def grams(text, n):
+    """Byte n-grams of letters with a space at either end of the text, those that have a space only at their own ends."""
+    b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in f" {text or ''} ".encode())
+    for i in range(len(b) - n + 1):
+        g = b[i : i + n]
+        inner = 32 not in g[1:-1] if n > 2 else g != b"  "
+        if inner and (n == 2 or g != b" " * n):
+            yield g
+
+
+def test_toxicity_against_brute_force(spark):
+    docs, labels = labelled(80)
+    rows = docs + [(1000 + i, *r[1:]) if r[0] is not None else r for i, r in enumerate(cases.rows()) if len(r[1] or "") < 5000]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(spark, cases.table(spark, rows), table, sizes=(4, 5), bits=16, features=500)
+    count = {i: Counter(bucket(g, 16) for n in (4, 5) for g in grams(t, n)) for i, t, *_ in docs}
+    toxic = {i: t for i, _, t in labels}
+    p, n = Counter(), Counter()
+    for i, c in count.items():
+        n.update(c.keys())
+        if toxic[i]:
+            p.update(c.keys())
+    npos, nneg = sum(toxic.values()), len(toxic) - sum(toxic.values())
+    known = [k for k in n if p[k] >= 2 or n[k] >= 20]
+    chosen = sorted(sorted(known, key=lambda k: (-abs(p[k] / npos - (n[k] - p[k]) / nneg), k))[:500])
+    ratio = {k: math.log((p[k] + 1) / (npos + 2)) - math.log((n[k] - p[k] + 1) / (nneg + 2)) for k in chosen}
+    assert set(np.flatnonzero(model.weights).tolist()) <= set(chosen)
+    beta = {k: model.weights[k] / ratio[k] for k in chosen if ratio[k]}
+    z = {i: model.intercept + sum(model.weights[k] * math.log2(1 + m) for k, m in c.items() if k in ratio) for i, c in count.items()}
+    share = {i: 0.5 / (npos if toxic[i] else nneg) for i in z}
+    slope = {i: share[i] * (1 / (1 + math.exp(-z[i])) - toxic[i]) for i in z}  # of the loss, which is least where its gradient is 0
+    assert abs(sum(slope.values())) < 2e-3
+    for k in beta:
+        assert abs(sum(slope[i] * ratio[k] * math.log2(1 + count[i][k]) for i in z) + 1e-5 * beta[k]) < 5e-3
+    got = {str((r["doc_id"], r["toxic"])): r["toxic_score"] for r in toxicity.score(spark, cases.table(spark, rows), model).collect()}
+    for i, t, *_ in rows:
+        want = model.intercept + sum(model.weights[k] * math.log2(1 + m) for k, m in Counter(bucket(g, 16) for n in (4, 5) for g in grams(t, n)).items())
+        assert abs(got[str((i, bool(want > 0 and t)))] - want) < 1e-4
+
+
+def test_language_against_brute_force(spark):
+    rows = spoken(120, 1) + [(1000 + i, *r[1:]) if r[0] is not None else r for i, r in enumerate(cases.rows()) if len(r[1] or "") < 5000]
+    docs = cases.table(spark, rows, clashing=True)
+    languages, code, weights, w, b = langid.train(spark, docs)
+    assert languages == sorted({r[2] for r in rows if r[2]}) and np.allclose(weights.sum(1), 1) and (code != np.roll(code, 1, 0)).any(1).all()
+    got = {}
+    for r in langid.language_id(spark, docs).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for i, t, *_ in rows:
+        c = Counter(bucket(g, 12) for n in (2, 3) for g in grams(t, n))
+        c.update(x + 32 if 65 <= x <= 90 else x for x in (t or "").encode() if chr(x).isalpha() or x >= 128)
+        total, margin = sum(c.values()), [float(v) for v in b]
+        for k, m in c.items():
+            for s in range(len(b)):
+                margin[s] += float(w[k, s]) * math.sqrt(m / total)
+        d = [sum(weights[r][s] * math.log1p(math.exp(-code[r][s] * margin[s])) for s in range(len(b))) for r in range(len(languages))]
+        best = sorted(d)
+        mine = got[i].pop()
+        if not total:
+            assert mine["predicted"] is None and mine["ambiguous"] and mine["distance"] is None
+            continue
+        assert abs(mine["distance"] - best[0]) < 1e-3 and abs(mine["gap"] - (best[1] - best[0])) < 1e-3
+        assert d[languages.index(mine["predicted"])] < best[0] + 1e-3 and (mine["ambiguous"] == (mine["gap"] < langid.GAP))
+
+
+def test_many_values_of_lang(spark):
+    rows = [(i, cases.words(20, i), f"l{i % 60}", "s", 1) for i in range(240)]
+    model = langid.train(spark, cases.table(spark, rows), rows=120)
+    assert len(model[0]) == 60 and model[1].shape[0] == 60  # two rows of each
+    with pytest.raises(ValueError):
+        langid.train(spark, cases.table(spark, rows), rows=59)
+    far = langid.codewords(300)
+    assert min((far[i] != far[j]).sum() for i in range(300) for j in range(i)) >= 12
+
+
+def test_equal_distances_are_ambiguous():
+    code = langid.codewords(3)
+    d = langid.classify_texts(pa.array([" abc ", "  "]), ["a", "b", "c"], code, np.full(code.shape, 1 / code.shape[1]), np.zeros((4096, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), (1, 2, 3), 12, 0.25)
+    assert d.to_pylist()[0] == {"predicted": "a", "distance": d[0]["distance"].as_py(), "gap": 0.0, "ambiguous": True} and d[1]["predicted"].as_py() is None
+
+
+def slow_em(rows, rounds=500):
+    """A document at a time: posteriors from accuracies, accuracies from posteriors."""
+    k = len(rows[0])
+    good = [(v.count(1) + 0.5) / (v.count(1) + v.count(-1) + 1) for v in rows]
+    for _ in range(rounds):
+        prior = (sum(good) + 1) / (len(rows) + 2)
+        right, wrong = [], []
+        for j in range(k):
+            yes, no = [g for g, v in zip(good, rows) if v[j] == 1], [g for g, v in zip(good, rows) if v[j] == -1]
+            right.append(min(0.999, max(0.5, (sum(yes) + 0.8) / (sum(yes) + sum(no) + 1))))
+            wrong.append(min(0.999, max(0.5, (sum(1 - g for g in no) + 0.8) / (sum(1 - g for g in yes + no) + 1))))
+        last, good = good, []
+        for v in rows:
+            a = prior * math.prod(right[j] if v[j] == 1 else 1 - right[j] for j in range(k) if v[j])
+            b = (1 - prior) * math.prod(wrong[j] if v[j] == -1 else 1 - wrong[j] for j in range(k) if v[j])
+            good.append(a / (a + b))
+        if max(abs(x - y) for x, y in zip(good, last)) < 1e-10:
+            break
+    return good
+
+
+def test_posteriors_equal_an_em_by_hand(spark):
+    rows = cases.rows() + [(300 + i, "THE END!! ### " * (i % 7), "en", "s", 1) for i in range(40)]
+    got = {}
+    for r in quality_rules.quality(spark, cases.table(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["posterior"], r["keep"]))
+    for (i, *_), p in zip(rows, slow_em([brute_votes(r[1]) for r in rows]), strict=True):
+        q, keep = min(got[i], key=lambda x: abs(x[0] - p))
+        assert abs(p - q) < 1e-5 and keep == (q >= quality_rules.THRESHOLD)
+
+
+def test_gumbel_scores_equal_those_by_hand(spark):
+    import hashlib
+
+    rows = [r for r in cases.rows() if r[0] is not None]
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = importance.resample(spark, cases.table(spark, rows, clashing=True), labels, fraction=0.3).collect()
+    for r in got:
+        u = int(hashlib.md5(f"{importance.SEED}|{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52 + 0.5 / 2**52
+        assert abs(r["score"] - (r["log_weight"] - math.log(-math.log(u)))) < 1e-9
+    order = sorted(got, key=lambda r: (-r["score"], r["doc_id"]))
+    assert sorted(r["doc_id"] for r in got if r["selected"]) == sorted(r["doc_id"] for r in order[: math.ceil(0.3 * len(rows))])
+    # word by word: the ratio of two tables of counts, by a hash of our own that has no collisions to share
+    words = lambda t: [x for x in "".join(c.lower() if c.isascii() and c.isalnum() or not c.isascii() else " " for c in (t or "")).split() if x]
+    assert all(r["log_weight"] == 0 for r in got if not words(dict((i, t) for i, t, *_ in rows)[r["doc_id"]]))

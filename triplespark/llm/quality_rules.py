@@ -86,8 +86,9 @@ def quality(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD)
     """(doc_id, one vote_ column a rule, posterior, keep) for every row of docs.
 
     All documents vote; only the counts of distinct vote patterns, at most 3 to the number of rules, reach the driver.
-    A null or empty text is voted against for its length and otherwise abstains mostly. Repeated rows count as often
-    as they occur; an empty table gives an empty result.
+    A null or empty text is voted against for its length and otherwise abstains mostly. Texts are measured whole, however
+    long. Repeated rows count as often as they occur; an empty table gives an empty result. doc_id may be of any type, null
+    or repeated; other columns don't count, whatever their names. A posterior equal to ``threshold`` is kept.
     """
     names = list(rules())
     measured = docs.select("doc_id", *[c.alias(k) for k, c in measures(F.col("text")).items()])

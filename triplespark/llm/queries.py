@@ -51,6 +51,7 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, which lies beside the package and isn't part of it when that is installed alone."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -86,7 +86,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     """Fits the classifier on at most ``per_class`` labelled documents of each class.
 
     Document frequencies of all n-grams are counted on the executors; the ``features`` buckets whose frequency differs
-    most between the classes remain. With labels of one class only, or none, the model has no weights.
+    most between the classes remain, ties by bucket. With labels of one class only, or none, the model has no weights.
+    A document labelled more than once is toxic if any label says so; labels of other values, null ones, and those of
+    null or unknown doc_ids are skipped. Repeated rows of a labelled document are read as often as they occur.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(11))
@@ -148,8 +150,9 @@ def score_texts(texts: pa.Array, weights: np.ndarray, intercept: float, bits: in
 def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.0) -> DataFrame:
     """docs with toxic_score, log-odds over the whole text, and toxic, whether they exceed the threshold.
 
-    A null or empty text has no n-gram and so the intercept's score; it counts as not toxic. Rows are scored one by
-    one, so repeats score alike; columns of the same two names are replaced and all others stay.
+    A null or empty text has no n-gram and so the intercept's score; it counts as not toxic, as does a score equal to
+    the threshold. Texts are scored whole, however long. Rows are scored one by one, so repeats score alike, and an empty
+    table gives an empty one; doc_id isn't looked at. Columns of the same two names are replaced and all others stay.
     """
     sent = spark.sparkContext.broadcast(astuple(model))
     scored = F.arrow_udf(lambda text: pa.array(score_texts(text, *sent.value)), "double")
@@ -159,12 +162,16 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float =
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.0, **parameters) -> DataFrame:
-    """(doc_id, toxic_score, toxic) for every row of docs, by a model fitted on the labelled ones among them."""
+    """(doc_id, toxic_score, toxic) for every row of docs, by a model fitted on the labelled ones among them.
+
+    Odd rows as in :func:`score` and :func:`train`; only doc_id and text of docs count, whatever else there is.
+    """
     return score(spark, docs.select("doc_id", "text"), train(spark, docs, labels, **parameters), threshold).drop("text")
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.0) -> DataFrame:
-    """The rows of docs that aren't toxic, with their own columns; labels come from the labels table."""
+    """The rows of docs that aren't toxic, with their own columns, whatever their names; labels come from the labels table.
+    Rows with a null or empty text, or a null doc_id, are scored like any other; null and empty texts stay."""
     model = train(spark, docs, read(spark, sf_dir, "labels"))
     own = docs.withColumns({f"__{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
     kept = score(spark, own.select(*[f"__{i}" for i in range(len(docs.columns))], F.col("text")), model, threshold).where("not toxic")
