@@ -147,10 +147,11 @@ def detect(edges: DataFrame, members: DataFrame | None = None, key: str = "cente
     return w.groupBy(key).applyInPandas(run, f"{key} {kind}, comm long, node string")
 
 
-def _sweep(links: DataFrame, state: DataFrame, m: float, cap: int | None) -> DataFrame:
+def _sweep(links: DataFrame, state: DataFrame, m: float, cap: int | None, matchings: int = 4) -> DataFrame:
     """(node, to): the moves accepted in a round. Every node names the community that it would gain most by joining and
-    that has room; a move is accepted if it gains more than all others from or to either of its two communities. So no
-    two accepted moves share a community, their gains add up, and modularity rises."""
+    that has room; a move is accepted if it gains more than all others from or to either of its two communities, and
+    again among those that then meet no accepted one. So no two accepted moves share a community, their gains add up,
+    and modularity rises."""
     held = state.groupBy("comm").agg(F.sum("k").alias("held"), F.sum("size").alias("room"))
     towards = links.join(state.select(F.col("node").alias("neighbor"), F.col("comm").alias("to")), "neighbor").groupBy("node", "to").agg(F.sum("weight").alias("w"))
     at = towards.join(state.select("node", F.col("comm").alias("home"), "size", "k"), "node").join(held.withColumnRenamed("comm", "to"), "to")
@@ -164,18 +165,26 @@ def _sweep(links: DataFrame, state: DataFrame, m: float, cap: int | None) -> Dat
     )
     wish = wish.where("best is not null").join(held.select(F.col("comm").alias("home"), F.col("held").alias("home_held")), "home")
     stay = F.coalesce("stay", -F.col("k").cast("double") * (F.col("home_held") - F.col("k")) / (2 * m * m))
-    moves = checkpointed(wish.where(F.coalesce(F.col("best.gain") > F.col("stay"), F.lit(True))).select("node", "home", F.col("best.to").alias("to"), (F.col("best.gain") - stay).alias("rise")))
-    order = F.struct((-F.col("rise")).alias("r"), "node")
-    first = moves.select(F.explode(F.array("home", "to")).alias("comm"), "node", "rise").groupBy("comm").agg(F.min_by("node", order).alias("first"))
-    best = moves.join(first.select(F.col("comm").alias("home"), F.col("first").alias("a")), "home").join(first.select(F.col("comm").alias("to"), F.col("first").alias("b")), "to")
-    return checkpointed(best.where("a = node and b = node").select("node", "to"))
+    rest = checkpointed(wish.where(F.coalesce(F.col("best.gain") > F.col("stay"), F.lit(True))).select("node", "home", F.col("best.to").alias("to"), (F.col("best.gain") - stay).alias("rise")))
+    order, accepted = F.struct((-F.col("rise")).alias("r"), F.xxhash64("node").alias("h"), "node"), None
+    for _ in range(matchings):
+        first = rest.select(F.explode(F.array("home", "to")).alias("comm"), "node", "rise").groupBy("comm").agg(F.min_by("node", order).alias("first"))
+        best = rest.join(first.select(F.col("comm").alias("home"), F.col("first").alias("a")), "home").join(first.select(F.col("comm").alias("to"), F.col("first").alias("b")), "to")
+        best = checkpointed(best.where("a = node and b = node").select("node", "home", "to"))
+        accepted = best if accepted is None else accepted.unionByName(best)
+        taken = best.select(F.explode(F.array("home", "to")).alias("taken"))
+        rest = checkpointed(rest.join(taken, F.col("home") == F.col("taken"), "left_anti").join(taken, F.col("to") == F.col("taken"), "left_anti"))
+        if rest.isEmpty():
+            break
+    return checkpointed(accepted.select("node", "to"))
 
 
-def partition_graph(edges: DataFrame, cap: int | None = 5, sweeps: int = 100) -> DataFrame:
+def partition_graph(edges: DataFrame, cap: int | None = 5, settled: float = 0.002) -> DataFrame:
     """(node, comm): the partition of a graph of any size, comm being the least node of each community.
 
-    The levels are those of :func:`partition`: moves from single nodes on until no move gains (or ``sweeps`` rounds have
-    been made, of which each leaves a partition), then communities become nodes; levels go on while modularity strictly
+    The levels are those of :func:`partition`: moves from single nodes on until no move gains, or until a round
+    makes no more moves than a share of ``settled`` of the graph's nodes (with 0, and in graphs of under 500 nodes, none),
+    then communities become nodes; a level whose first round is already such a one is the last; levels go on while modularity strictly
     rises, and the last partition before that stops is the result. Every state is a written table, nothing is collected
     but totals, and minima and sums are partial on the map side, so a hub is no single task.
     """
@@ -186,21 +195,24 @@ def partition_graph(edges: DataFrame, cap: int | None = 5, sweeps: int = 100) ->
     if not m:
         return members
     w, sizes, quality = first, members.select("node", F.lit(1).cast("long").alias("size")), modularity(first, members).first()[0]
+    enough = settled * members.count()
     while True:
         both = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("neighbor")), F.struct(F.col("v").alias("node"), F.col("u").alias("neighbor"))))
         links = checkpointed(w.where("u <> v").select(both.alias("x"), "weight").select("x.*", "weight"))
         state = checkpointed(sizes.join(_degrees(w), "node").withColumn("comm", F.col("node")))
-        for _ in range(sweeps):
+        moved = []
+        while not moved or moved[-1] > enough:
             accepted = _sweep(links, state, m, cap)
-            if accepted.isEmpty():
-                break
+            moved.append(accepted.count())
             state = checkpointed(state.join(accepted, "node", "left").withColumn("comm", F.coalesce("to", "comm")).drop("to"))
         to = state.select(F.col("node").alias("comm"), F.col("comm").alias("to"))
         after = checkpointed(members.join(to, "comm").select("node", F.col("to").alias("comm")))
         risen = modularity(first, after).first()[0]
-        if risen <= quality:
+        over = risen <= quality
+        if not over:
+            members, quality = after, risen
+        if over or moved[0] <= enough:
             least = members.groupBy("comm").agg(F.min("node").alias("least"))
             return members.join(least, "comm").select("node", F.col("least").alias("comm"))
-        members, quality = after, risen
         w = checkpointed(aggregate(w, state.select("node", "comm")))
         sizes = checkpointed(state.groupBy(F.col("comm").alias("node")).agg(F.sum("size").alias("size")))
