@@ -91,7 +91,7 @@ def _extractor(sizes: tuple[int, ...], bits: int):
         for batch in batches:
             for lo, hi, raw, offs in _blocks(batch["text"], bits):
                 x = features(raw, offs, sizes, bits, lut)
-                yield pa.RecordBatch.from_arrays([batch["lang"].slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+                yield pa.RecordBatch.from_arrays([batch["lang"].slice(lo, hi - lo), batch["at"].slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "at", "x"])
 
     return run
 
@@ -109,12 +109,14 @@ def train(spark: SparkSession, docs: DataFrame, per_language: int = TRAIN_PER_LA
     if values > rows:
         raise ValueError(f"{values} values of lang, more than the {rows} rows of the sample")
     per_language = max(1, min(per_language, rows // max(1, values)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id")
+    at = F.xxhash64("doc_id", F.lit(23))
+    order = Window.partitionBy("lang").orderBy(at, "doc_id")
     named = docs.where("lang is not null and doc_id is not null and length(text) > 0").select("doc_id", "lang")
     picked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
-    sample = Scratch(spark, "langid").table(sample.select("lang", _padded().alias("text")), "sample")
-    got = sample.mapInArrow(_extractor(sizes, bits), "lang string, x binary").toPandas()
+    sample = Scratch(spark, "langid").table(sample.select("lang", at.alias("at"), _padded().alias("text")), "sample")
+    got = sample.mapInArrow(_extractor(sizes, bits), "lang string, at long, x binary").toPandas()
+    got = got.sort_values(["lang", "at", "x"], ignore_index=True)  # the same at every run, however files are listed
     languages = sorted(got["lang"].unique().tolist())
     y = np.searchsorted(languages, got["lang"].to_numpy(str)) if languages else np.zeros(0, int)
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), 1 << bits)
