@@ -145,44 +145,52 @@ def _route(sent):
 
 def _reader(sent, folder: str, reads: Accumulator, bytes_read: Accumulator):
     """For asked keys sorted by shard and key: opens each shard once, finds each key's blocks in its directory by binary
-    search, and reads every block that some key needs once."""
-
-    def of_shard(system: fs.FileSystem, root: str, name: str, keys: list[str]) -> Iterator[pa.Table]:
-        with system.open_input_stream(f"{root}/{name}.dir") as d:
-            directory = _unpacked(d.read())
-        firsts, lasts = ([k.encode() for k in directory[c].to_pylist()] for c in ("first", "last"))
-        wanted: dict[int, list[str]] = {}
-        for key in keys:
-            k = key.encode()
-            for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k)):
-                wanted.setdefault(i, []).append(key)
-        with system.open_input_file(f"{root}/{name}") as blocks:
-            for i, here in sorted(wanted.items()):
+    search, and reads every block that some key needs once, when the keys have passed it. Held are a directory, and the
+    keys of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        shards, last, blocks = sent.value, None, None
+        firsts: list[bytes] = []
+        lasts: list[bytes] = []
+        wanted: dict[int, list[str]] = {}  # by block, in order, as keys are sorted
+
+        def passed(before: int) -> Iterator[pa.RecordBatch]:
+            for i in [i for i in wanted if i < before]:
                 size = directory["length"][i].as_py()
                 block = _unpacked(blocks.read_at(size, directory["offset"][i].as_py()))
                 reads.add(1)
                 bytes_read.add(size)
-                yield block.filter(pc.is_in(block["key"], pa.array(here, pa.string())))
+                yield from block.filter(pc.is_in(block["key"], pa.array(wanted.pop(i), pa.string()))).to_batches()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = fs.FileSystem.from_uri(folder)
-        shards, last, keys = sent.value, None, []
         for batch in itertools.chain(batches, [None]):
             rows = zip(batch["at"].to_pylist(), batch["key"].to_pylist(), strict=True) if batch is not None else [(None, None)]
             for at, key in rows:
                 if at != last:
                     if last is not None:
-                        for found in of_shard(system, root, shards[last][1], keys):
-                            yield from found.to_batches()
-                    last, keys = at, []
-                keys.append(key)
+                        yield from passed(len(firsts))
+                        blocks.close()
+                    if at is not None:
+                        name = shards[at][1]
+                        with system.open_input_stream(f"{root}/{name}.dir") as d:
+                            directory = _unpacked(d.read())
+                        firsts, lasts = ([k.encode() for k in directory[c].to_pylist()] for c in ("first", "last"))
+                        blocks = system.open_input_file(f"{root}/{name}")
+                    last = at
+                if key is not None:
+                    k = key.encode()
+                    lo = bisect.bisect_left(lasts, k)
+                    yield from passed(lo)
+                    for i in range(lo, bisect.bisect_right(firsts, k)):
+                        wanted.setdefault(i, []).append(key)
 
     return run
 
 
 def lookup(spark: SparkSession, index: Index, keys: DataFrame) -> DataFrame:
     """(key, page_id, warc_file, warc_offset, warc_length) of every capture of the distinct non-null values of ``key``;
-    keys without captures give no row. A shard's keys are looked up by one task, which holds no more than one block."""
+    keys without captures give no row. A shard's keys are looked up by one task, which holds no more than one block and the
+    keys asked of it."""
     sent = spark.sparkContext.broadcast(index.shards)
     asked = keys.select("key").where("key is not null").distinct().mapInArrow(_route(sent), "key string, at int")
     sorted_ = asked.repartition("at").sortWithinPartitions("at", "key")
