@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
+from .scratch import Scratch
 from .tables import integer_id, small
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -190,6 +191,6 @@ def secret_scan(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULA
     texts = docs.where("text is not null").select(integer_id(docs).alias("doc_id"), "text")
     found = texts.mapInArrow(_scanner(sent, least, ratio), "doc_id long, start int, length int, tokens int, value string")
     if known is not None:
-        ours = small(known.select(F.lower("digest").alias("d")).where("d is not null").distinct())
+        ours = small(Scratch(spark, "secrets").table(known.select(F.lower("digest").alias("d")).where("d is not null").distinct(), "known"))
         found = found.join(ours, F.lower("value") == F.col("d"), "left_anti")
     return found.select("doc_id", "start", "length", "tokens", (F.col("length") / F.col("tokens")).alias("chars_per_token"), F.sha2("value", 256).alias("fingerprint"))
