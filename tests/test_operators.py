@@ -436,6 +436,16 @@ def test_community_search(spark, many):
     assert set(rows) == {7, 8} and all(r["prediction"] == "paris" and r["early_stop"] for r in rows.values()) and len(rows[8]["chain_lengths"]) == 2
 
 
+def test_kept_vectors_score_alike(spark):
+    from triplespark.plans.scoring import all_embeddings, prune
+
+    kg = family(spark)
+    vectors = all_embeddings(kg, HashingEmbedder())
+    assert {r["text"] for r in vectors.collect()} == {r["id"] for r in kg.nodes.collect()} | {r["label"] for r in kg.distinct_labels().collect()}
+    items = spark.createDataFrame([(0, "q", "alice", 0), (0, "q", "bob", 1), (0, "q", "elsewhere", 2), (1, "who", "paris", 0)], "qid long, query string, item string, ord long")
+    assert got(prune(items, ["qid"], EmbeddingScorer(HashingEmbedder(), 2))) == got(prune(items, ["qid"], EmbeddingScorer(HashingEmbedder(), 2, vectors)))
+
+
 def test_answers_and_judges(spark):
     q = spark.createDataFrame([(1, "who is in paris?")], "qid long, query string")
     chunks = spark.createDataFrame([("alice is in paris",), ("alice is in paris",), ("cows eat grass",)], "chunk string")

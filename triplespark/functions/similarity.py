@@ -287,7 +287,7 @@ def fuzzy_top(targets: DataFrame, candidates: DataFrame, threshold: float = 0.0,
 def _exact(results: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
     """(qid, label, score): the last score of each label that is a name."""
     lasts = results.groupBy("qid", "label").agg(F.max_by("score", "ord").alias("score"))
-    return lasts.join(names.distinct(), keys, "left_semi")
+    return lasts.join(names, keys, "left_semi")
 
 
 def _rest(results: DataFrame, exact: DataFrame, compat: bool) -> DataFrame:

@@ -19,7 +19,7 @@ from ..sources.storage import checkpointed, new_path
 from . import workload as w
 from .community_search import CommunitySearch
 from .qa import retrieved_context
-from .scoring import EmbeddingScorer, prune
+from .scoring import EmbeddingScorer, all_embeddings, prune
 from .triple_search import TripleSearch
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -33,6 +33,10 @@ def query(sql: str | None = None):
     return add
 
 
+#: Counts of letters and digits, as the stand-in embedder has them.
+_LETTERS = "list_transform(range(36), lambda k: (length(lower({0})) - length(replace(lower({0}), substr('abcdefghijklmnopqrstuvwxyz0123456789', k + 1, 1), '')))::DOUBLE)"
+
+
 def _r(c, d: int = 6):
     return F.round(c, d)
 
@@ -112,6 +116,12 @@ def q_subject_counts(spark, d):
     return w.graph(spark, d).subject_counts()
 
 
+@query(f"{w.WITH} SELECT x AS text, round(list_sum({_LETTERS.format('x')}), 6) AS letters FROM (SELECT subject AS x FROM E UNION SELECT object FROM E UNION SELECT label FROM E)")
+def q_all_embeddings(spark, d):
+    sizes = all_embeddings(w.stored_graph(spark, d), LetterEmbedder())
+    return sizes.select("text", F.aggregate("emb", F.lit(0.0), lambda s, x: s + x).alias("letters"))
+
+
 @query(f"{w.WITH} SELECT DISTINCT label FROM E")
 def q_distinct_labels(spark, d):
     return w.graph(spark, d).distinct_labels()
@@ -551,10 +561,6 @@ def q_cosine_topn(spark, d):
     return sim.cosine_top(_asked(spark, d), _vectors(spark, d), 0.0, 10).withColumn("score", _r("score"))
 
 
-#: Counts of letters and digits, as the stand-in embedder has them.
-_LETTERS = "list_transform(range(36), lambda k: (length(lower({0})) - length(replace(lower({0}), substr('abcdefghijklmnopqrstuvwxyz0123456789', k + 1, 1), '')))::DOUBLE)"
-
-
 def _letter_cosine(x: str, y: str) -> str:
     return f"round(list_dot_product({x}, {y}) / (sqrt(list_dot_product({x}, {x})) * sqrt(list_dot_product({y}, {y}))), 9)"
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import dot, match_scores, norm
 from ..functions.text import SCORED, scored_items
 from ..models import Embedder, LanguageModel, ask, embed
+from ..operators.graph import KnowledgeGraph
 from ..sources.storage import checkpointed
 
 _SEP = "\x1f"
@@ -30,16 +31,33 @@ class UniformScorer(Scorer):
         return items.join(sizes, keys).select(*items.columns, "score")
 
 
+def all_embeddings(kg: KnowledgeGraph, embedder: Embedder) -> DataFrame:
+    """(text, emb) of all entities and relation labels of a graph, written once for all the rounds of a search."""
+    texts = kg.nodes.select(F.col("id").alias("text")).unionByName(kg.distinct_labels().select(F.col("label").alias("text")))
+    return checkpointed(embed(texts, embedder))
+
+
 @dataclass
 class EmbeddingScorer(Scorer):
-    """Cosine with the query, rounded to 9 decimals; the best ``top_n`` of 0 or more stay, ties by ord."""
+    """Cosine with the query, rounded to 9 decimals; the best ``top_n`` of 0 or more stay, ties by ord.
+
+    ``vectors`` (text, emb) are kept ones, as of :func:`all_embeddings`; only other texts are embedded at a prune.
+    """
 
     embedder: Embedder
     top_n: int = 3
+    vectors: DataFrame | None = None
+
+    def embedded(self, items: DataFrame, column: str) -> DataFrame:
+        """(text, emb) of the distinct texts of a column: the kept vectors, and new ones of what has none."""
+        if self.vectors is None:
+            return embed(items, self.embedder, column)
+        texts = items.select(F.col(column).alias("text")).where("text is not null").distinct()
+        return self.vectors.join(texts, "text", "left_semi").unionByName(embed(texts.join(self.vectors, "text", "left_anti"), self.embedder))
 
     def score(self, items: DataFrame, keys: list[str]) -> DataFrame:
-        q = embed(items, self.embedder, "query").select(F.col("text").alias("query"), F.col("emb").alias("q_emb"))
-        e = embed(items, self.embedder, "item").select(F.col("text").alias("item"), "emb")
+        q = self.embedded(items, "query").select(F.col("text").alias("query"), F.col("emb").alias("q_emb"))
+        e = self.embedded(items, "item").select(F.col("text").alias("item"), "emb")
         scored = items.join(q, "query").join(e, "item").withColumn("score", F.round(dot(F.col("emb"), F.col("q_emb")) / (norm(F.col("emb")) * norm(F.col("q_emb"))), 9))
         order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "ord")
         kept = scored.where("score >= 0 and not isnan(score)").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.top_n)
