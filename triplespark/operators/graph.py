@@ -51,6 +51,7 @@ class KnowledgeGraph:
     nodes: DataFrame
     edges: DataFrame
     typed: DataFrame | None = None
+    written: bool = False
 
     @classmethod
     def of(cls, triples: DataFrame) -> KnowledgeGraph:
@@ -62,9 +63,9 @@ class KnowledgeGraph:
         """The same graph with its edges written to shared storage and read back: the triples are read and deduplicated
         once, however often the graph is used; nodes follow from the written edges."""
         if self.typed is None:
-            return replace(self, edges=checkpointed(self.edges))
+            return replace(self, edges=checkpointed(self.edges), written=True)
         typed = checkpointed(self.typed)
-        return KnowledgeGraph(node_table(typed), typed.select("ord", "subject", "label", "object"), typed)
+        return KnowledgeGraph(node_table(typed), typed.select("ord", "subject", "label", "object"), typed, True)
 
     @property
     def entities(self) -> DataFrame:
@@ -112,17 +113,23 @@ class KnowledgeGraph:
     def k_hop(self, centers: DataFrame, hops: int = 3) -> DataFrame:
         """(center, node, depth) of the nodes within so many hops of each center.
 
-        A hop joins the frontier alone to the steps between nodes, written once, and drops what was seen; a center that
-        is no node has no rows.
+        A hop joins the frontier to the ends of the edges, from either side, and drops what was seen: a small frontier is
+        broadcast, so the edges are read but not shuffled. A center that is no node has no rows.
         """
-        step = checkpointed(self.adjacency.select("node", "neighbor").distinct())
-        front = centers.select(F.col("center"), F.col("center").alias("node")).distinct().join(step.select("node"), "node", "left_semi").select("center", "node")
-        front = checkpointed(front)
-        seen = front.withColumn("depth", F.lit(0))
+        ends = self.edges.select("subject", "object")
+        ends = ends if self.written else checkpointed(ends)
+
+        def reached(front: DataFrame) -> DataFrame:
+            sides = [front.join(ends.select(F.col(a).alias("node"), F.col(b).alias("next")), "node") for a, b in (("subject", "object"), ("object", "subject"))]
+            return sides[0].unionByName(sides[1]).select("center", F.col("next").alias("node")).distinct()
+
+        step = checkpointed(reached(centers.select("center", F.col("center").alias("node")).distinct()))
+        seen = step.select("center", F.col("center").alias("node"), F.lit(0).alias("depth")).distinct()  # every node has a neighbour
         for depth in range(1, hops + 1):
-            reached = front.join(step, "node").select("center", F.col("neighbor").alias("node")).distinct()
-            front = checkpointed(reached.join(seen.select("center", "node"), ["center", "node"], "left_anti"))
+            front = checkpointed(step.join(seen.select("center", "node"), ["center", "node"], "left_anti"))
             seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
+            if depth < hops:
+                step = reached(front)
         return seen
 
     def induced(self, members: DataFrame, key: str = "center") -> DataFrame:
