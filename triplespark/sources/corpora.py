@@ -26,14 +26,19 @@ def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
 
 
 def lines_with_position(spark: SparkSession, path: str) -> DataFrame:
-    """(position, value): lines of a text file, plain or compressed, with their 0-based numbers.
+    """(position, value): lines of a text file, plain or compressed, with their 0-based numbers; the files of a folder in
+    order of their names.
 
-    Numbers come from one count a partition and an offset; the file is read in parallel, twice, and never gathered.
+    Numbers come from one count a block of a file and an offset; the file is read in parallel, twice, and never gathered.
+    Blocks are told apart by file and start, as Spark packs them into partitions by size and not by place.
     """
-    numbered = spark.read.text(path).withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
-    sizes = numbered.groupBy("__part").count().withColumn("offset", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = numbered.join(F.broadcast(sizes.select("__part", "offset")), "__part")  # a row for each partition of the file
-    return joined.select((F.col("offset") + F.col("__id") - F.shiftleft("__part", 33)).alias("position"), "value")
+    block = ["__file", "__start"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
+    sizes = lines.groupBy(*block).agg(F.count("*").alias("n"), F.min("__id").alias("first"))  # a block is read in one go, so its ids follow each other
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*block, (before - F.col("first")).alias("offset"))
+    joined = lines.join(F.broadcast(offsets), block)  # a row for each block
+    return joined.select((F.col("offset") + F.col("__id")).alias("position"), "value")
 
 
 def at_positions(spark: SparkSession, path: str, ids: list[int] | DataFrame, schema: str) -> DataFrame:
