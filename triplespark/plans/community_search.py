@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import cosine_top, match_entities
+from ..functions.similarity import cosine_top_alike, match_entities
 from ..functions.text import choices, says_yes_once, scored_items
 from ..models import Embedder, LanguageModel, ask, embed
 from ..operators import community
@@ -69,7 +69,7 @@ class CommunitySearch(Answerer):
             self._vectors = checkpointed(vectors)
         vectors = self._vectors
         asked = own.join(vectors, F.col("center") == F.col("candidate")).select(F.col("part").alias("query"), F.col("emb").alias("q_emb"))
-        like = cosine_top(asked, vectors, self.threshold, self.top_centers).select(F.col("query").alias("part"), F.col("candidate").alias("center"))
+        like = cosine_top_alike(asked, vectors, self.threshold, self.top_centers).select(F.col("query").alias("part"), F.col("candidate").alias("center"))
         return own.unionByName(like).distinct()
 
     def detected(self, around: DataFrame, seed: int) -> DataFrame:
