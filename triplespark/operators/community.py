@@ -58,16 +58,26 @@ def community_of(membership: DataFrame, nodes: DataFrame, scope: str | None = No
     return nodes.select(*keys).distinct().join(membership.groupBy(*keys).agg(F.min("comm").alias("comm")), keys, "left")
 
 
+def _linking(edges: DataFrame, membership: DataFrame, scope: str | None = None) -> DataFrame:
+    """(a, b, ord, subject, label, object): each edge between two communities, a the lower one; an edge passes through the
+    joins once, not once for each end."""
+    more = [scope] if scope else []
+    here = membership.select(*more, F.col("comm").alias("cs"), F.col("node").alias("subject"))
+    there = membership.select(*more, F.col("comm").alias("co"), F.col("node").alias("object"))
+    both = edges.select("ord", "subject", "label", "object").join(here, "subject").join(there, [*more, "object"]).where("cs <> co")
+    return both.select(F.least("cs", "co").alias("a"), F.greatest("cs", "co").alias("b"), "ord", "subject", "label", "object")
+
+
 def neighbor_communities(edges: DataFrame, membership: DataFrame, scope: str | None = None) -> DataFrame:
     """(comm, neighbor, ord): communities that an outer edge leads to, with the first such edge."""
-    led = _touching(edges, membership, scope).where("comm <> other")
-    return led.groupBy("comm", F.col("other").alias("neighbor")).agg(F.min("ord").alias("ord"))
+    led = _linking(edges, membership, scope).groupBy("a", "b").agg(F.min("ord").alias("ord"))
+    way = lambda x, y: F.struct(F.col(x).alias("comm"), F.col(y).alias("neighbor"))
+    return led.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w"), "ord").select("w.comm", "w.neighbor", "ord")
 
 
 def edges_between(edges: DataFrame, membership: DataFrame, scope: str | None = None) -> DataFrame:
     """(a, b, ord, subject, label, object): edges from one community to another, a the lower one."""
-    led = _touching(edges, membership, scope).where("comm < other")
-    return led.select(F.col("comm").alias("a"), F.col("other").alias("b"), "ord", "subject", "label", "object")
+    return _linking(edges, membership, scope)
 
 
 def edge_lines(edges: DataFrame, keys: list[str]) -> DataFrame:
