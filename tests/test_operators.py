@@ -604,3 +604,30 @@ def test_edges_between_communities_are_not_doubled(spark):
     assert got(between) == [(1, 2, 0, "a", "r", "b"), (1, 2, 1, "b", "s", "a"), (1, 2, 2, "b", "r", "c")]
     assert got(community.neighbor_communities(kg.edges, member)) == [(1, 2, 0), (2, 1, 0)]
     assert "Generate" not in between._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leaves_that_fit_no_community_are_folded_not_lost(spark):
+    """A hub's leaves are alike but for name and weight: only what can move is partitioned for every center."""
+    few = [("h", "r", "g"), ("g", "r", "l0"), ("l1", "s", "h"), ("l1", "r", "o1"), ("l1", "r", "o2"), ("o1", "r", "l2"), ("l4", "r", "l5"), ("z", "r", "z"), ("z", "r", "h")]
+    kg = kg_of(spark, [(f"l{i}", "r", "h") for i in range(40)] + [(f"l{i}", "s", "h") for i in range(20, 30)] + few).stored()
+    centers = spark.createDataFrame([("l0",), ("l1",), ("l9",), ("o2",), ("z",), ("h",), ("absent",)], "center string")
+    pairs, alone = kg.folded_balls(centers, 2, 5)
+    assert alone.where("center = 'l9'").first()["n"] > 20 and pairs.where("center = 'l9'").count() < 20
+    parts = louvain.detect_folded(pairs, 5).collect()
+    extra = {r["center"]: r["n"] for r in alone.collect()}
+    ball = kg.k_hop(centers, 2)
+    weight = {}
+    for r in kg.induced(ball).collect():
+        key = tuple(sorted((r["subject"], r["object"])))
+        weight.setdefault(r["center"], {}).setdefault(key, 0)
+        weight[r["center"]][key] += 1
+    for center, edges in weight.items():
+        nodes = {n for k in edges for n in k}
+        of = {r["node"]: r["comm"] for r in parts if r["center"] == center}
+        assert len(of) == sum(r["center"] == center for r in parts) == len(nodes) - extra.get(center, 0) and set(of) <= nodes
+        assert max(list(of.values()).count(c) for c in of.values()) <= 5
+        whole = of | {n: n for n in nodes - set(of)}
+        assert all(len([e for e in edges if n in e]) == 1 for n in nodes - set(of))
+        full = {n: i for i, p in enumerate(louvain.partition(sorted(nodes), edges, 5)) for n in p}
+        assert louvain._quality(edges, whole) > louvain._quality(edges, {n: n for n in nodes}) and abs(louvain._quality(edges, whole) - louvain._quality(edges, full)) < 0.05
+    assert set(weight) == {r["center"] for r in parts} == {"l0", "l1", "l9", "o2", "z", "h"}
