@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from triplespark.functions import similarity as sim
 from triplespark.functions import text as tx
 from triplespark.models import Gazetteer, HalvingModel, HashingEmbedder, ScriptedModel
-from triplespark.operators import community, louvain, render
+from triplespark.operators import beam, community, louvain, render
 from triplespark.operators.construction import build_graph, extract
 from triplespark.operators.graph import KnowledgeGraph
 from triplespark.plans.community_search import CommunitySearch
@@ -631,3 +631,13 @@ def test_leaves_that_fit_no_community_are_folded_not_lost(spark):
         full = {n: i for i, p in enumerate(louvain.partition(sorted(nodes), edges, 5)) for n in p}
         assert louvain._quality(edges, whole) > louvain._quality(edges, {n: n for n in nodes}) and abs(louvain._quality(edges, whole) - louvain._quality(edges, full)) < 0.05
     assert set(weight) == {r["center"] for r in parts} == {"l0", "l1", "l9", "o2", "z", "h"}
+
+
+def test_a_round_fills_communities(spark):
+    """Hubs with many leaves: one round of moves fills every hub's community, where one that pairs communities can't."""
+    edges = kg_of(spark, [(f"l{h}_{i}", "r", f"h{h}") for h in range(20) for i in range(9)]).edges
+    _, w = louvain._numbered(edges)
+    state = louvain._degrees(w).selectExpr("node", "k", "1L as size", "node as comm")
+    links = w.selectExpr("u as node", "v as neighbor", "weight").unionByName(w.selectExpr("v as node", "u as neighbor", "weight"))
+    moves = louvain._sweep(links, state, 180.0, 5).collect()
+    assert len(moves) == 80 and len({r["to"] for r in moves}) == 20
