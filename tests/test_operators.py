@@ -641,3 +641,12 @@ def test_a_round_fills_communities(spark):
     links = w.selectExpr("u as node", "v as neighbor", "weight").unionByName(w.selectExpr("v as node", "u as neighbor", "weight"))
     moves = louvain._sweep(links, state, 180.0, 5).collect()
     assert len(moves) == 80 and len({r["to"] for r in moves}) == 20
+
+
+def test_modularity_of_overlapping_and_partial_communities(spark):
+    edges = kg_of(spark, [("a", "r", "b"), ("a", "s", "b"), ("b", "r", "c"), ("c", "r", "c"), ("c", "r", "d")]).edges
+    m = spark.createDataFrame([("a", 0), ("b", 0), ("b", 1), ("c", 1), ("c", 2)], "node string, comm long")
+    want = (2 / 5 - (5 / 10) ** 2) + (2 / 5 - (7 / 10) ** 2) + (1 / 5 - (4 / 10) ** 2)
+    for x in (louvain.pairs(edges), louvain.weighted(edges)):
+        assert louvain.modularity(x, m).first()[0] == pytest.approx(want)
+    assert louvain.singletons(louvain.weighted(edges)) == pytest.approx(1 / 5 - (4 + 9 + 16 + 1) / 100)
