@@ -650,3 +650,18 @@ def test_modularity_of_overlapping_and_partial_communities(spark):
     for x in (louvain.pairs(edges), louvain.weighted(edges)):
         assert louvain.modularity(x, m).first()[0] == pytest.approx(want)
     assert louvain.singletons(louvain.weighted(edges)) == pytest.approx(1 / 5 - (4 + 9 + 16 + 1) / 100)
+
+
+def test_chunk_info_of_a_folder_of_parts(spark, tmp_path):
+    """Parts count on from each other in order of their names, whatever their sizes; nothing but part counts is sorted."""
+    for f, parts in (("a", (3, 40, 1)), ("b", (2, 0, 5))):
+        (tmp_path / f).mkdir()
+        at = 0
+        for i, n in enumerate(parts):
+            rows = [{"source": f"{f}{at + j}", "chunk": "c", "entities": {}, "triples": []} for j in range(n)]
+            (tmp_path / f / f"part-{i}.txt").write_text(json.dumps(rows, indent=1))
+            at += n
+    rows = corpora.chunk_info(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert {tuple(r) for r in rows.select("file_idx", "chunk_idx", "source").collect()} == {(i, k, f"{f}{k}") for i, (f, n) in enumerate((("a", 44), ("b", 7))) for k in range(n)}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan

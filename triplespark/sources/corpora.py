@@ -69,7 +69,10 @@ def chunk_info(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """(file_idx, chunk_idx, source, chunk, entities, triples) of the files that exist, each a JSON list.
 
     All files are read by one scan, whatever their number; a file's number is its place among those that exist. A path may
-    also be a folder of one such file, as Spark writes it.
+    also be a folder of such files, as Spark writes it: they count as one, in order of their names, and each is read by a
+    task of its own, where a file that is one JSON list can't be split.
+
+    Numbers within a file come from one count a part and an offset, so no file's rows gather in one task.
     """
     found = existing(spark, paths)
     if not found:
@@ -88,8 +91,10 @@ def chunk_info(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     rows = rows.withColumn("__folder", F.regexp_replace("__file", "/[^/]*$", ""))
     rows = rows.join(F.broadcast(numbers), "__file", "left").join(F.broadcast(folders), "__folder", "left")  # a row for each path
     rows = rows.withColumn("file_idx", F.coalesce("file_idx", "__idx"))
-    order = Window.partitionBy("file_idx").orderBy("__at")
-    return rows.select("file_idx", (F.row_number().over(order) - 1).alias("chunk_idx"), "source", "chunk", "entities", "triples")
+    sizes = rows.groupBy("file_idx", "__file").agg(F.count("*").alias("n"), F.min("__at").alias("first"))  # a part is read in one go
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file_idx").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("__file", (before - F.col("first")).alias("offset")))  # a row for each part
+    return rows.join(offsets, "__file").select("file_idx", (F.col("__at") + F.col("offset")).cast("int").alias("chunk_idx"), "source", "chunk", "entities", "triples")
 
 
 def _within(value: Column, bits: int, what: str) -> Column:
