@@ -680,3 +680,11 @@ def test_chunking_a_batch_holds_few_texts_in_python():
     assert out[1].as_py() is None and out[1998].as_py() == tx.split_text(texts[0].as_py(), tx.CHUNK, tx.OVERLAP) and len(out) == 2000
     assert peak < texts.nbytes / 4
     assert tx._by_slices(texts.slice(0, 0), len, pa.int64()).to_pylist() == []
+
+
+def test_has_edge_deduplicates_no_triples(spark):
+    kg = kg_of(spark, [("a", "r", "b"), ("b", "r", "a")] * 3)
+    probes = spark.createDataFrame([("b", "a", "r"), ("b", "a", "s"), (None, "a", "r")], "a string, b string, label string")
+    found = kg.has_edge(probes, labelled=True)
+    assert [r["found"] for r in found.orderBy("a", "label").collect()] == [False, True, False]
+    assert "min_by" not in found._jdf.queryExecution().executedPlan().toString()
