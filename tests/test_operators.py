@@ -682,6 +682,19 @@ def test_chunking_a_batch_holds_few_texts_in_python():
     assert tx._by_slices(texts.slice(0, 0), len, pa.int64()).to_pylist() == []
 
 
+def test_open_edges_shared_by_both_searches_and_odd_ends(spark):
+    kg = kg_of(spark, [("a", "r", "b"), ("b", "r", "a"), ("a", "s", "a"), ("c", "r", "a"), ("a", "t", "d")])
+    front = spark.createDataFrame([(0, "a", 1.0), (0, "b", 0.5)], "qid long, topic string, topic_score double")
+    used = kg.edges.where("label = 't'").selectExpr("0L as qid", "ord", "subject", "label", "object", "1 as round")
+    at = beam.open_edges_at(kg, front, used)
+    assert got(at, "topic", "neighbor", "label") == [("a", "a", "s"), ("a", "b", "r"), ("a", "c", "r"), ("b", "a", "r")]
+    rel = beam.relation_search(kg, front, used, at).selectExpr("*", "1.0D as relation_score")
+    found = beam.entity_search(kg, rel, used, at).selectExpr("*", "1.0D as entity_score")
+    assert got(found, "topic", "label", "entity") == got(beam.entity_search(kg, rel, used), "topic", "label", "entity")
+    assert got(beam.triple_scores(kg, found), "subject", "object", "label", "score") == [("a", "a", "s", 1.0), ("a", "b", "r", 1.5), ("c", "a", "r", 1.0)]
+    assert "__lo" not in beam.triple_scores(kg, found).columns
+
+
 def test_has_edge_deduplicates_no_triples(spark):
     kg = kg_of(spark, [("a", "r", "b"), ("b", "r", "a")] * 3)
     probes = spark.createDataFrame([("b", "a", "r"), ("b", "a", "s"), (None, "a", "r")], "a string, b string, label string")

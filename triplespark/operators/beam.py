@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import KnowledgeGraph
+from .graph import KnowledgeGraph, pair
 
 
 def spent_entities(kg: KnowledgeGraph, used: DataFrame) -> DataFrame:
@@ -27,20 +27,27 @@ def unused_entities(kg: KnowledgeGraph, candidates: DataFrame, used: DataFrame)
     return candidates.join(spent_entities(kg, used), ["qid", "node"], "left_anti")
 
 
-def _open_edges(kg: KnowledgeGraph, frontier: DataFrame, used: DataFrame) -> DataFrame:
-    """(qid, topic, topic_score, neighbor, ord, subject, label, object) of the unused edges at the frontier."""
-    at = frontier.join(kg.adjacency, F.col("topic") == F.col("node")).drop("node")
-    return at.join(used.select("qid", "ord"), ["qid", "ord"], "left_anti")
+def open_edges_at(kg: KnowledgeGraph, frontier: DataFrame, used: DataFrame) -> DataFrame:
+    """(qid, topic, topic_score, neighbor, label) of the unused edges at the frontier. The edges meet it from either end,
+    in four columns; both searches of a round read the same, so it should be written once for them."""
+    e = kg.edges.select("ord", "subject", "label", "object")
+    out = frontier.join(e, F.col("topic") == F.col("subject")).select(*frontier.columns, F.col("object").alias("neighbor"), "label", "ord")
+    back = e.where(~F.col("subject").eqNullSafe(F.col("object")))
+    out = out.unionByName(frontier.join(back, F.col("topic") == F.col("object")).select(*frontier.columns, F.col("subject").alias("neighbor"), "label", "ord"))
+    return out.join(used.select("qid", "ord"), ["qid", "ord"], "left_anti").select("qid", "topic", "topic_score", "neighbor", "label")
 
 
-def relation_search(kg: KnowledgeGraph, frontier: DataFrame, used: DataFrame) -> DataFrame:
-    """(qid, topic, topic_score, label): distinct labels of unused edges at each topic, in either direction."""
-    return _open_edges(kg, frontier, used).select("qid", "topic", "topic_score", "label").distinct()
+def relation_search(kg: KnowledgeGraph, frontier: DataFrame, used: DataFrame, open_edges: DataFrame | None = None) -> DataFrame:
+    """(qid, topic, topic_score, label): distinct labels of unused edges at each topic, in either direction. ``open_edges``
+    are those of :func:`open_edges_at`, if they are at hand."""
+    return (open_edges_at(kg, frontier, used) if open_edges is None else open_edges).select("qid", "topic", "topic_score", "label").distinct()
 
 
-def entity_search(kg: KnowledgeGraph, relations: DataFrame, used: DataFrame) -> DataFrame:
-    """relations (qid, topic, topic_score, label, ...) with entity: neighbours along unused edges of that label."""
-    open_edges = _open_edges(kg, relations.select("qid", "topic", "topic_score").distinct(), used)
+def entity_search(kg: KnowledgeGraph, relations: DataFrame, used: DataFrame, open_edges: DataFrame | None = None) -> DataFrame:
+    """relations (qid, topic, topic_score, label, ...) with entity: neighbours along unused edges of that label.
+    ``open_edges`` are those of a frontier that has all the relations' topics, if they are at hand."""
+    if open_edges is None:
+        open_edges = open_edges_at(kg, relations.select("qid", "topic", "topic_score").distinct(), used)
     ends = open_edges.select("qid", "topic", "label", F.col("neighbor").alias("entity")).distinct()
     return relations.join(ends, ["qid", "topic", "label"])
 
@@ -49,9 +56,10 @@ def triple_scores(kg: KnowledgeGraph, entities: DataFrame) -> DataFrame:
     """(qid, ord, subject, label, object, score, topics) from (qid, topic, topic_score, label, relation_score, entity,
     entity_score): products summed over all ways to a triple; an edge away from the topic is looked up first."""
     edges = kg.edges.select("ord", "subject", "label", "object")
-    there = edges.select(F.col("subject").alias("topic"), "label", F.col("object").alias("entity"), F.lit(0).alias("way"), "ord", F.col("subject"), F.col("object"))
-    back = edges.where("subject <> object").select(F.col("object").alias("topic"), "label", F.col("subject").alias("entity"), F.lit(1).alias("way"), "ord", F.col("subject"), F.col("object"))
-    ways = entities.join(there.unionByName(back), ["topic", "label", "entity"])
+    ends = lambda a, b: dict(zip(("__lo", "__hi"), pair(a, b), strict=True))
+    edges = edges.where("subject is not null and object is not null").withColumns(ends("subject", "object"))  # each edge once
+    entities = entities.where("topic is not null and entity is not null").withColumns(ends("topic", "entity"))
+    ways = entities.join(edges, ["__lo", "__hi", "label"]).withColumn("way", F.when(F.col("subject") == F.col("topic"), 0).otherwise(1))
     one = ways.groupBy("qid", "topic", "label", "entity").agg(F.min_by(F.struct("ord", "subject", "object", (F.col("topic_score") * F.col("relation_score") * F.col("entity_score")).alias("s")), F.struct("way", "ord")).alias("x"))
     return one.groupBy("qid", F.col("x.ord").alias("ord"), F.col("x.subject").alias("subject"), "label", F.col("x.object").alias("object")).agg(F.sum("x.s").alias("score"), F.array_sort(F.collect_set("topic")).alias("topics"))
 
